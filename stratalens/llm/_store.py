@@ -34,3 +34,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fold(doc_id: str = "doc_id"):
+    """crc32 of the id's decimal text, modulo 3; null for a null id."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 3
