@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, passages
+from . import langid, neardup, passages, toxicity
 from ._store import fold, read_table
 
 
@@ -22,13 +22,21 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.fit(docs.filter(fold() != 1), read_table(spark, sf_dir, "labels").filter(fold() != 1))
+    held = F.coalesce(fold() == 1, F.lit(False))
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return toxicity.score(docs, field).select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"), "spans")
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.remove_repeated_passages(read_table(spark, sf_dir, "documents"), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op9_repeated_passages)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op6_toxicity, op9_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
