@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, passages, toxicity
+from . import bpe, langid, neardup, passages, toxicity
 from ._store import fold, read_table
 
 
@@ -22,6 +22,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = bpe.encode_decode(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     field = toxicity.fit(docs.filter(fold() != 1), read_table(spark, sf_dir, "labels").filter(fold() != 1))
@@ -36,7 +43,7 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op6_toxicity, op9_repeated_passages)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op5_bpe, op6_toxicity, op9_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
