@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, passages, toxicity
+from . import bpe, langid, neardup, passages, search, sql, toxicity
 from ._store import fold, read_table
 
 
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.exact_top_k(read_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,8 +47,8 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op5_bpe, op6_toxicity, op9_repeated_passages)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op4_exact_top_k, op5_bpe, op6_toxicity, op9_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_near_duplicates": sql.OP2, "op4_exact_top_k": sql.OP4, "op9_repeated_passages": sql.OP9}
