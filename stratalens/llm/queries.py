@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, passages, search, sql, toxicity
+from . import bpe, langid, neardup, passages, quality, search, sql, toxicity
 from ._store import fold, read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -47,7 +51,7 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op4_exact_top_k, op5_bpe, op6_toxicity, op9_repeated_passages)}
+    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_language_id, op4_exact_top_k, op5_bpe, op6_toxicity, op9_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
