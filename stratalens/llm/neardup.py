@@ -23,6 +23,8 @@ from ._text import LOWER, U, Block, as_long, blocks, byte_table, mix, run_hashes
 from .components import connected_components
 
 M, ROWS, A, BASE, Q = 128, 4, 20.0, 1.001, 32765
+#: Members verified together with a leader; nodes of a block; most ids that are broadcast.
+GROUP, BLOCK, BROADCAST_IDS = 500, 256, 500_000
 _MUL = mix(np.arange(1, M + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1001, M + 1001, dtype=U))
 _TABLE = byte_table(2)
@@ -133,38 +135,119 @@ def _set_batches(k: int):
         for block in blocks(batches):
             hashes, at = shingle_hashes(block, k)
             parts = [np.unique(hashes[at[r] : at[r + 1]]) for r in range(block.rows)]
-            off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(off), as_long(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), flat], ["node", "items"])
+            blobs = [p.tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(blobs, pa.binary())], ["node", "items"])
 
     return run
 
 
+def _regs(part, name: str) -> np.ndarray:
+    return part.column(name).combine_chunks().flatten().to_numpy().reshape(-1, M) if isinstance(part, pa.Table) else part.column(part.schema.get_field_index(name)).flatten().to_numpy().reshape(-1, M)
+
+
 def _filter_batches(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 col = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
-                ra, rb = (col(c).flatten().to_numpy().reshape(-1, M) for c in ("regs_a", "regs_b"))
-                keep, est = plausible(ra, rb, col("n_a").to_numpy(), col("n_b").to_numpy(), threshold)
-                out = pa.RecordBatch.from_arrays([col("a"), col("b"), pa.array(est)], ["a", "b", "estimate"])
-                yield out.filter(pa.array(keep))
+                keep, _ = plausible(_regs(part, "regs_a"), _regs(part, "regs_b"), col("n_a").to_numpy(), col("n_b").to_numpy(), threshold)
+                yield pa.RecordBatch.from_arrays([col("a"), col("b")], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose full sets are similar enough, with inter and union sizes."""
+def _likely_stars(stars: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(g, a, b): pairs of a bucket's smallest node and another that the registers don't rule out; g groups by leader and up to GROUP of its members."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_filter_batches(percent / 100), "a long, b long, estimate double")
-    likely = materialize(likely.select("a", "b").distinct(), "pairs")
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_set_batches(k), "node long, items array<bigint>"), "sets")
-    a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}")) for x in "ab")
-    both = likely.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("ia", "ib")).alias("inter"), (F.size("ia") + F.size("ib")).alias("total"))
-    return both.filter((F.col("inter") > 0) & (F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent)).select("a", "b").distinct()
+    likely = materialize(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_filter_batches(threshold), "a long, b long").distinct(), "pairs")
+    size = likely.groupBy("a").agg(F.count("*").alias("n"))
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP))
+    return likely.join(size, "a").select(F.xxhash64("a", salt).alias("g"), "a", "b")
+
+
+def _likely_within(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Pairs of a block (g) in different components that share a first band there."""
+        g, node, comp, side, band, n = (table.column(c).to_numpy() for c in ("g", "node", "c", "side", "band", "n_shingles"))
+        regs = _regs(table, "regs")
+        order = np.argsort(g, kind="stable")
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(g[order])) + 1, [len(order)]])
+        out = []
+        for lo, hi in zip(edge.tolist(), edge.tolist()[1:], strict=False):
+            own = order[lo:hi]
+            left, right = own[side[own] != 2], own[side[own] != 1]  # 0: a block with itself
+            for part in np.array_split(left, -(-len(left) * len(right) // 8192) or 1):
+                x, y = (z.ravel() for z in np.meshgrid(part, right, indexing="ij"))
+                take = comp[x] != comp[y]
+                take &= (node[x] < node[y]) | (side[x] != 0)
+                take &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+                x, y = x[take], y[take]
+                if not len(x):
+                    continue
+                ra, rb = regs[x], regs[y]
+                same = (ra == rb).reshape(len(x), -1, ROWS).all(2)
+                mine = same.argmax(1) == band[x]  # the pair's first common band judges it
+                x, y, ra, rb = x[mine], y[mine], ra[mine], rb[mine]
+                if len(x):
+                    keep, _ = plausible(ra, rb, n[x], n[y], threshold)
+                    out.append((g[x[keep]], node[x[keep]], node[y[keep]]))
+        got = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
+        return pa.table({"g": got[0], "a": np.minimum(got[1], got[2]), "b": np.maximum(got[1], got[2])})
+
+    return run
+
+
+def _likely_rest(rest: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(g, a, b): the pairs in different components of a bucket that the registers
+    don't rule out.  Large buckets are cut into blocks of BLOCK nodes and each
+    pair of blocks is a group; no pairs are made before the registers are compared."""
+    size = rest.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rows = rest.join(size, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    rows = rows.select("node", "c", "band", F.xxhash64("key", lo, hi).alias("g"), side.cast("int").alias("side"))
+    rows = rows.join(nodes.select("node", "n_shingles", "regs"), "node")
+    lots = max(16, rest.count() // 10000)
+    return rows.groupBy(F.pmod("g", F.lit(lots)).alias("lot")).applyInArrow(_likely_within(threshold), "g long, a long, b long")
+
+
+def _check(percent: int):
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        """The pairs whose full sets are similar enough."""
+        names = sets.column("node").to_numpy()
+        items = [np.frombuffer(x.as_py(), U) for x in sets.column("items")]
+        at: dict[int, list[int]] = {}
+        for i, name in enumerate(names.tolist()):
+            at.setdefault(name, []).append(i)
+        keep = np.zeros(len(pairs), bool)
+        for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+            for p in at[a]:
+                for q in at[b]:
+                    x, y = (items[p], items[q]) if len(items[p]) <= len(items[q]) else (items[q], items[p])
+                    if not keep[i] and len(x) * 100 >= percent * len(y):
+                        where = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                        inter = int((y[where] == x).sum())
+                        keep[i] = 100 * inter >= percent * (len(x) + len(y) - inter)
+        return pairs.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _verified(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among likely (g, a, b).  A group's sets travel once, not once for each pair."""
+    likely = materialize(likely, "likely")
+    member = materialize(likely.select("g", F.col("a").alias("node")).union(likely.select("g", "b")).distinct(), "members")
+    wanted, texts = member.select(F.col("node").alias("doc_id")).distinct(), docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if wanted.count() <= BROADCAST_IDS:  # ids of bounded number; beyond, an ordinary join
+        wanted = F.broadcast(wanted)
+    sets = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches(k), "node long, items binary"), "sets")
+    lots = max(16, member.count() // 1000)
+    lot = F.pmod("g", F.lit(lots)).alias("lot")
+    own = member.select(lot, "node").distinct().join(sets, "node").select("lot", "node", "items")
+    pairs = likely.select(lot, "a", "b").distinct()
+    return pairs.groupBy("lot").cogroup(own.groupBy("lot")).applyInArrow(_check(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -190,20 +273,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         "nodes",
     )
     bands = F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda b: F.xxhash64(b, F.slice("regs", b * ROWS + 1, ROWS)))
-    member = nodes.select("node", F.explode(bands).alias("key"))
+    member = nodes.select("node", F.posexplode(bands).alias("band", "key"))
     lead = member.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a")
-    shared = materialize(member.join(lead, "key").select("key", F.col("node").alias("b"), "a"), "buckets")
-    stars = shared.filter("a <> b").select("a", "b").distinct()
-    links = materialize(_verified(stars, nodes, docs, k, percent), "links")
+    shared = materialize(member.join(lead, "key"), "buckets")
+    stars = shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    links = materialize(_verified(_likely_stars(stars, nodes, percent / 100), docs, k, percent), "links")
     comp = materialize(connected_components(links), "components")
 
-    placed = shared.join(comp.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("c"), "a")
+    placed = shared.join(comp, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     rest = materialize(placed.join(split, "key"), "rest")
-    x = rest.select("key", F.col("b").alias("x"), F.col("c").alias("cx"))
-    y = rest.select("key", F.col("b").alias("y"), F.col("c").alias("cy"))
-    cross = x.join(y, "key").filter("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialize(_verified(cross.join(stars, ["a", "b"], "left_anti"), nodes, docs, k, percent), "links")
+    more = materialize(_verified(_likely_rest(rest, nodes, percent / 100), docs, k, percent), "links")
     comp = materialize(connected_components(links.unionByName(more)), "components")
 
     named = reps.join(comp, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
