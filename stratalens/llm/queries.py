@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, passages, quality, search, secrets, sql, toxicity
+from . import bpe, langid, neardup, pages, passages, quality, search, secrets, sql, toxicity
 from ._store import fold, read_table
 
 
@@ -49,13 +49,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.remove_repeated_passages(read_table(spark, sf_dir, "documents"), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_language_id, op4_exact_top_k, op5_bpe, op6_toxicity, op7_secrets, op9_repeated_passages)}
+    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_language_id, op4_exact_top_k, op5_bpe, op6_toxicity, op7_secrets, op8_html_text, op9_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
