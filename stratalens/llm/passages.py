@@ -5,7 +5,7 @@ whose remainder modulo a period lies in a difference cover.  For any two
 positions there is a shift below the period that brings both into the cover, so
 two equal windows of ``window`` words always share an aligned anchor of
 ``window - period + 1`` words.  Anchors that occur in one document only are
-dropped; around the others the full windows are hashed (128 bits) and compared,
+dropped; around the others the full windows are hashed (96 bits) and compared,
 which extends each anchor without pairing the documents that hold it.
 """
 
@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import materialize
 from ._text import as_long, blocks, byte_table, flat_ranges, run_hashes, span_hashes
 
 #: Perfect difference sets: every non-zero remainder is the difference of exactly one ordered pair.
@@ -84,14 +85,12 @@ def _windows(window: int):
                 continue
             h1 = run_hashes(span_hashes(_TABLE[block.data], starts, ends), window)[at]
             h2 = run_hashes(span_hashes(_TABLE2[block.data], starts, ends, True), window, True)[at]
-            key = np.empty((len(at), 2), np.uint64)
-            key[:, 0], key[:, 1] = h1, h2
-            wh = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1, dtype=np.int32) * 16).tobytes()), pa.py_buffer(key.tobytes())])
             row = np.searchsorted(first, at, "right") - 1
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)[row]
             tkey = block.column("tkey").to_numpy(zero_copy_only=False)[row]
             yield pa.RecordBatch.from_arrays(
-                [wh, pa.array(ids.astype(np.int64)), pa.array(tkey.astype(np.int32)), pa.array((at - first[row]).astype(np.int32))], ["wh", "doc_id", "tkey", "start"]
+                [as_long(h1), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids.astype(np.int64)), pa.array(tkey.astype(np.int32)), pa.array((at - first[row]).astype(np.int32))],
+                ["h1", "h2", "doc_id", "tkey", "start"],
             )
 
     return run
@@ -110,6 +109,12 @@ def _cut(window: int):
                 at = np.unique(first[row[own]] + begin[own])
                 mark[at] += 1
                 mark[at + window] -= 1
+            twin, row, _ = _lists(block.column("copies"))
+            if len(row):
+                for r in np.unique(row[twin.to_numpy() == block.column("tkey").to_numpy(zero_copy_only=False)[row]]):
+                    if n[r] >= window:
+                        mark[first[r]] += 1
+                        mark[first[r + 1]] -= 1
             keep = np.cumsum(mark)[: len(starts)] == 0
             kept_before = np.concatenate([[0], np.cumsum(keep)])
             left = kept_before[first[1:]] - kept_before[first[:-1]]
@@ -142,14 +147,24 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     an empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("tkey", F.hash("text"))
-    # each of the three tables is dealt once, and its exchange serves both readers
-    anchors = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors(window), "h long, doc_id long, pos int").repartition("h")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("h")
-    places = anchors.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    dealt = docs.repartition("doc_id")
-    windows = (
-        dealt.join(places, "doc_id").select("doc_id", "text", "tkey", "pos").mapInArrow(_windows(window), "wh binary, doc_id long, tkey int, start int").repartition("wh")
-    )
-    first = windows.groupBy("wh").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last").select("wh", "owner")
-    gone = windows.join(first, "wh").filter("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "start")).alias("gone"))
-    return dealt.join(gone, "doc_id", "left").select("doc_id", "text", "tkey", "gone").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    known = docs.filter("doc_id is not null")
+    # whole copies are told by one hash a document; they need no windows of their own
+    whole = materialize(known.select("doc_id", "tkey", F.md5(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))).alias("m")), "whole")
+    lowest = whole.groupBy("m").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last").select("m", "owner")
+    late = F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False))
+    copies = whole.join(lowest, "m").withColumn("late", late).groupBy("doc_id").agg(F.collect_set(F.when(F.col("late"), F.col("tkey"))).alias("copies"), F.count("*").alias("n"))
+    copies = copies.filter("size(copies) > 0")
+    texts = whole.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+    only = copies.join(texts, "doc_id").filter("n = n_rows and n = size(copies)").select("doc_id")
+    # each table is dealt once: windows over it need no second reading, and the documents' exchange serves both joins
+    anchors = known.select("doc_id", "text").mapInArrow(_anchors(window), "h long, doc_id long, pos int")
+    same = Window.partitionBy("h")
+    shared = anchors.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).filter("lo <> hi")
+    places = shared.groupBy("doc_id").agg(F.collect_list("pos").alias("pos")).join(only, "doc_id", "left_anti")
+    dealt = known.repartition("doc_id")
+    windows = dealt.join(places, "doc_id").select("doc_id", "text", "tkey", "pos").mapInArrow(_windows(window), "h1 long, h2 int, doc_id long, tkey int, start int")
+    found = windows.withColumn("owner", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).filter("doc_id > owner")
+    gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "start")).alias("gone"))
+    marked = dealt.join(gone, "doc_id", "left").join(copies.select("doc_id", "copies"), "doc_id", "left").select("doc_id", "text", "tkey", "gone", "copies")
+    nameless = docs.filter("doc_id is null").select("doc_id", "text", "tkey", F.lit(None).cast(marked.schema["gone"].dataType).alias("gone"), F.lit(None).cast("array<int>").alias("copies"))
+    return marked.unionByName(nameless).mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")

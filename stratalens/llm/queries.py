@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, pages, passages, quality, search, secrets, sql, toxicity
+from . import bpe, domains, langid, mixing, neardup, pages, passages, quality, search, secrets, sql, toxicity
 from ._store import fold, read_table
 
 
@@ -58,8 +58,14 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = mixing.mix(docs, domains.domain_of(F.col("source")), domains.TARGETS, fraction=0.6, max_epochs=2, seed=17)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_language_id, op4_exact_top_k, op5_bpe, op6_toxicity, op7_secrets, op8_html_text, op9_repeated_passages)}
+    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_language_id, op4_exact_top_k, op5_bpe, op6_toxicity, op7_secrets, op8_html_text, op9_repeated_passages, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
