@@ -79,7 +79,7 @@ def _tested(min_length: int) -> str:
 
 
 def scan(docs: DataFrame, min_length: int = 20, fdr: float = 0.001) -> DataFrame:
-    """doc_id, text and spans: array of (begin, rank, end, kind), code points, end exclusive, sorted.
+    """row (all columns), doc_id, text and spans: array of (begin, rank, end, kind), code points, end exclusive, sorted.
 
     kinds: assign, access, hex (fixed patterns, kept as they match) and random
     (candidates of at least ``min_length`` token characters that overlap none of
@@ -88,7 +88,8 @@ def scan(docs: DataFrame, min_length: int = 20, fdr: float = 0.001) -> DataFrame
 
     Null text: no spans.  Null and repeated doc_ids pass through; other columns
     are ignored; an empty table gives none."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = F.col("text")
     assign = _located(t, ASSIGN, t.rlike("[:=]") & t.rlike(ASSIGN))
     d = d.withColumn("assign", F.filter(assign, lambda s: F.length(F.regexp_extract(s["m"], ASSIGN, 2)) >= 12))
@@ -104,11 +105,11 @@ def scan(docs: DataFrame, min_length: int = 20, fdr: float = 0.001) -> DataFrame
     d = d.withColumn("limit", F.expr(f"aggregate(transform(weighed, (x, i) -> CASE WHEN x.p <= {fdr}D * (i + 1) / size(weighed) THEN x.p ELSE -1D END), -1D, (a, x) -> greatest(a, x))"))
     added = "coalesce(transform(filter(weighed, x -> x.p <= limit AND x.random), x -> struct(x.begin AS begin, 3 AS rank, x.end AS end, 'random' AS kind)), array())"
     d = d.withColumn("spans", F.expr(f"sort_array(concat(base, {added}))"))
-    return d.select("doc_id", "text", "spans")
+    return d.select("row", "doc_id", "text", "spans")
 
 
 def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """doc_id, text with each stretch of overlapping spans replaced by ``mark``, spans."""
+    """row, doc_id, text with each stretch of overlapping spans replaced by ``mark``, spans."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -118,7 +119,15 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     rest = lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text")))
     text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
-    return found.select("doc_id", text.alias("text"), "spans")
+    return found.select("row", "doc_id", text.alias("text"), "spans")
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """docs with secrets in text replaced and n_chars recounted where text changed; all columns stay, null text stays null."""
+    done = redact(scan(docs))
+    changed = F.size("spans") > 0
+    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return done.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

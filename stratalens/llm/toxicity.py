@@ -39,7 +39,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         s, e = starts, ends
         if size:
             s, e = (starts, np.minimum(ends, starts + size)) if head else (np.maximum(starts, ends - size), ends)
-        h = mix((prefix[e] - prefix[s]) * down[s] + U(i + 1) * U(0x9E3779B97F4A7C15))
+        h = mix((prefix[e] - prefix[s]) * down[s] + U((i + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
         feats[:, i] = (h >> U(64 - BITS)).astype(np.int32)
     return starts, ends, first, feats
 
@@ -274,3 +274,18 @@ def score(docs: DataFrame, field: ToxicField | None, level: float = 0.5) -> Data
     results; an empty table gives none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_score(field, level), "doc_id long, score double, spans array<struct<begin:long,end:long,marginal:double>>")
+
+
+def keep_below(docs: DataFrame, field: ToxicField | None, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs (all columns) whose text scores below ``threshold``; all of them with no field."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            own = block.batch.slice(block.lo, block.rows)
+            if field:
+                _, _, first, feats = tokens(block.data, block.offsets)
+                z = summary(field.marginals(first, feats), first) @ field.calibration
+                own = own.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
+            yield own
+
+    return docs.mapInArrow(run, docs.schema)
