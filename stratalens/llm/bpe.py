@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
 from ._text import IS_SPACE, U, _P1, _prefix, blocks, byte_table, flat_ranges, mix
 
 CHUNK_BYTES = 24 << 20
 _TABLE = byte_table(5)
-_PACKED = "chunk string, bucket int, kind int, payload binary"
+_PACKED = "chunk string, bucket int, payload binary"
+_JOINED = 2000
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -69,54 +69,59 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class _Chunk:
-    """Distinct words of up to CHUNK_BYTES of text, and each row's words as numbers."""
+    """Distinct words of up to CHUNK_BYTES of text, most frequent first, and each row's words as numbers."""
 
     def __init__(self):
-        self.ids, self.counts, self.hashes, self.known, self.words, self.bytes = [], [], [], np.zeros(0, U), [], 0
+        self.ids, self.counts, self.hashes, self.starts, self.data, self.bytes = [], [], [], [], [], 0
 
     def add(self, block) -> None:
         data, offsets = block.data, block.offsets
         starts = word_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         prefix, down = _prefix(_TABLE[data], _P1)
-        h = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
-        new, first = np.unique(h, return_index=True)
-        fresh = ~np.isin(new, self.known, assume_unique=True)
-        new, first = new[fresh], first[fresh]
-        length = (ends - starts)[first]
-        self.words.append((new, data[flat_ranges(starts[first], length)], length.astype(np.int32)))
-        self.known = np.union1d(self.known, new)
-        self.hashes.append(h)
+        self.hashes.append(mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U)))
         self.counts.append(np.diff(np.searchsorted(starts, offsets)))
+        self.starts.append(starts + self.bytes)
+        self.data.append(data)
         self.ids.append(block.column("doc_id"))
         self.bytes += len(data)
 
-    def rows(self, name: str, buckets: int) -> Iterator[tuple[str, int, int, bytes]]:
-        new = np.concatenate([w[0] for w in self.words])
-        raw = np.concatenate([w[1] for w in self.words])
-        length = np.concatenate([w[2] for w in self.words]).astype(np.int64)
-        begin = np.cumsum(length) - length
-        order = np.argsort(new)  # by hash: a bucket is a slice
-        new, begin, length = new[order], begin[order], length[order]
-        bucket = (new >> U(32)) * U(buckets) >> U(32)
-        edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
-        for b in range(buckets):
-            lo, hi = edge[b], edge[b + 1]
-            if lo < hi:
-                yield name, b, 0, _pack(raw[flat_ranges(begin[lo:hi], length[lo:hi])], length[lo:hi].astype(np.int32))
-        place = np.searchsorted(new, np.concatenate(self.hashes)).astype(np.int32)
-        ids = pa.chunked_array(self.ids).combine_chunks()
-        null = np.array(ids.is_null())
-        yield name, -1, 1, _pack(ids.fill_null(0).to_numpy().astype(np.int64), null.astype(np.uint8), np.concatenate(self.counts).astype(np.int32), place)
-
-
-def _split(buckets: int):
+    def rows(self, place: str, buckets: int, words: bool) -> Iterator[tuple[str, int, bytes]]:
+        """(chunk, bucket, payload): each bucket's words, or the one row of the documents.
+
+        The chunk is named by its place and its words, so that both readings agree or fail."""
+        h = np.concatenate(self.hashes)
+        own, first, number, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        name = f"{place}-{int(np.bitwise_xor.reduce(own)) if len(own) else 0:x}-{len(h)}"
+        order = np.argsort(-times, kind="stable")
+        bucket = ((own >> U(32)) * U(buckets) >> U(32)).astype(np.int64)[order]
+        if words:
+            raw = np.concatenate(self.data)
+            starts = np.concatenate(self.starts)
+            length = np.diff(np.append(starts, len(raw)))[first[order]]
+            begin = starts[first[order]]
+            by_bucket = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+            for b in range(buckets):
+                x = by_bucket[edge[b] : edge[b + 1]]
+                if len(x):
+                    yield name, b, _pack(raw[flat_ranges(begin[x], length[x])], length[x].astype(np.int32))
+        else:
+            rank = np.empty(len(own), np.uint32)
+            rank[order] = np.arange(len(own), dtype=np.uint32)
+            planes = rank[number.ravel()].astype("<u4").view(np.uint8).reshape(-1, 4)
+            ids = pa.chunked_array(self.ids).combine_chunks()
+            null = np.array(ids.is_null()).astype(np.uint8)
+            yield name, -1, _pack(ids.fill_null(0).to_numpy().astype(np.int64), null, np.concatenate(self.counts).astype(np.int32), bucket.astype(np.int32), *(np.ascontiguousarray(planes[:, i]) for i in range(4)))
+
+
+def _split(buckets: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, chunk = TaskContext.get().partitionId(), 0, _Chunk()
 
         def out():
-            for c, b, k, p in chunk.rows(f"{part}-{number}", buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([b], pa.int32()), pa.array([k], pa.int32()), pa.array([p], pa.binary())], ["chunk", "bucket", "kind", "payload"])
+            for c, b, p in chunk.rows(f"{part}-{number}", buckets, words):
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([b], pa.int32()), pa.array([p], pa.binary())], ["chunk", "bucket", "payload"])
 
         for block in blocks(batches):
             chunk.add(block)
@@ -154,6 +159,32 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(made), np.uint8), np.cumsum(length) - length, length
 
 
+def encode_words(t, piece_bytes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each word, and all ids in a row.
+
+    Words that begin with white space and end in a solid character are handed to
+    the tokenizer many at a time: no pre-token reaches over their borders, and
+    the pieces' lengths tell where each word's ids end."""
+    safe = [i for i, w in enumerate(words) if w[0] in b" \t\n\x0b\x0c\r" and 0x21 <= w[-1] <= 0x7E and not (w[-1] == 0x3E and b"<|" in w)]
+    size, kept = np.zeros(len(words), np.int64), {}
+    for lo in range(0, len(safe), 64 * _JOINED):
+        groups = [safe[i : i + _JOINED] for i in range(lo, min(lo + 64 * _JOINED, len(safe)), _JOINED)]
+        for group, e in zip(groups, t.encode_batch_fast([b"".join(words[i] for i in g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.concatenate([[0], np.cumsum(piece_bytes[ids])])
+            at = np.searchsorted(ends, np.concatenate([[0], np.cumsum([len(words[i]) for i in group])]))
+            size[group] = np.diff(at)
+            for i, a, b in zip(group, at.tolist(), at.tolist()[1:], strict=False):
+                kept[i] = ids[a:b]
+    rest = sorted(set(range(len(words))) - set(safe))
+    for lo in range(0, len(rest), 4096):
+        part = rest[lo : lo + 4096]
+        for i, e in zip(part, t.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False), strict=True):
+            kept[i] = np.array(e.ids, np.uint32)
+            size[i] = len(kept[i])
+    return size, np.concatenate([kept[i] for i in range(len(words))]) if words else np.zeros(0, np.uint32)
+
+
 def _encode(path: str):
     def run(table: pa.Table) -> pa.Table:
         """One slice of the hash range, of all chunks: each distinct word is encoded once."""
@@ -167,12 +198,7 @@ def _encode(path: str):
         for own in lists:
             for w in own:
                 number.setdefault(w, len(number))
-        words = list(number)
-        found: list[list[int]] = []
-        for lo in range(0, len(words), 4096):
-            found += [e.ids for e in t.encode_batch([w.decode() for w in words[lo : lo + 4096]], add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.uint32)
+        size, flat = encode_words(t, _pieces(path)[2], list(number))
         begin = np.cumsum(size) - size
         out = []
         for own in lists:
@@ -193,8 +219,15 @@ def _join(path: str):
         flat = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint32)
         size = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
         begin = np.cumsum(size) - size
+        if not len(docs) or (docs.column("chunk").to_pylist().count(docs.column("chunk")[0].as_py()) != 1):
+            raise RuntimeError("the two readings of the documents differ; write them to a table first")
         for blob in docs.column("payload").to_pylist():
-            ids, null, counts, place = _unpack(blob)
+            ids, null, counts, bucket, *planes = _unpack(blob)
+            if len(bucket) != len(size):
+                raise RuntimeError("the two readings of the documents differ; write them to a table first")
+            where = np.empty(len(bucket), np.int64)
+            where[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+            place = where[np.ascontiguousarray(np.stack(planes, 1)).view("<u4").ravel()] if len(planes[0]) else np.zeros(0, np.int64)
             edge = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
             lo = 0
             while lo < len(ids):  # about a million ids at a time
@@ -233,17 +266,21 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     The tokenizer must be byte-level BPE without normalizer or prefix space.
 
     Null or empty text: no ids, empty decoded text.  Null and repeated doc_ids
-    pass through; other columns are ignored; an empty table gives none."""
+    pass through; other columns are ignored; an empty table gives none.
+
+    The documents are read twice; a table that doesn't come back in the same
+    partitions and order (one that isn't read from files) is an error, not a wrong result."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     buckets = max(8, 4 * rows.rdd.getNumPartitions())
-    packed = materialize(rows.mapInArrow(_split(buckets), _PACKED), "words")
-    coded = packed.filter("kind = 0").groupBy("bucket").applyInArrow(_encode(tokenizer_path), "chunk string, bucket int, payload binary")
+    lists = rows.mapInArrow(_split(buckets, True), _PACKED)
+    coded = lists.groupBy("bucket").applyInArrow(_encode(tokenizer_path), _PACKED)
+    numbered = rows.mapInArrow(_split(buckets, False), _PACKED)
     whole = _join(tokenizer_path)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.Table.from_batches(whole(left, right), schema=_OUT)
 
-    both = packed.filter("kind = 1").groupBy("chunk").cogroup(coded.groupBy("chunk"))
+    both = numbered.groupBy("chunk").cogroup(coded.groupBy("chunk"))
     return both.applyInArrow(join, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
