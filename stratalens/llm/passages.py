@@ -31,6 +31,16 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return max(((p, c) for p, c in COVERS.items() if 3 * (window - p + 1) >= window), default=(1, (0,)))
 
 
+def _once_a_row(row: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One entry for each row and hash, with its first and last position there."""
+    order = np.lexsort((pos, h, row))
+    row, pos, h = row[order], pos[order], h[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))[: len(row)]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(row)) - 1
+    return row[at], pos[at], pos[last], h[at]
+
+
 def _anchors(window: int):
     period, cover = cover_for(window)
     width = window - period + 1
@@ -51,8 +61,10 @@ def _anchors(window: int):
             pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             take = inside[pos % period]
             row, pos = row[take], pos[take]
+            h = hashes[first[row] + pos]
+            row, pos, last, h = _once_a_row(row, pos, h)
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([as_long(hashes[first[row] + pos]), pa.array(ids.astype(np.int64)), pa.array(pos.astype(np.int32))], ["h", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([as_long(h), pa.array(ids.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(last.astype(np.int32))], ["h", "doc_id", "pos", "last"])
 
     return run
 
@@ -70,12 +82,12 @@ def _windows(window: int):
         for block in blocks(batches):
             starts, ends, first = block.words()
             n = np.diff(first)
-            pos, row, _ = _lists(block.column("pos"))
-            pos = pos.to_numpy().astype(np.int64)
+            span, row, _ = _lists(block.column("pos"))
+            pos, last = (span.field(i).to_numpy().astype(np.int64) for i in (0, 1))
             ok = (n[row] >= window) & (pos < n[row])
-            pos, row = pos[ok], row[ok]
+            pos, last, row = pos[ok], last[ok], row[ok]
             lo = np.maximum(pos - period + 1, 0)
-            hi = np.minimum(pos, n[row] - window) + 1
+            hi = np.minimum(last, n[row] - window) + 1
             good = lo < hi
             mark = np.zeros(len(starts) + 1, np.int32)
             np.add.at(mark, first[row[good]] + lo[good], 1)
@@ -85,12 +97,22 @@ def _windows(window: int):
                 continue
             h1 = run_hashes(span_hashes(_TABLE[block.data], starts, ends), window)[at]
             h2 = run_hashes(span_hashes(_TABLE2[block.data], starts, ends, True), window, True)[at]
+            # a window that a row repeats is sent once, with all its starts
             row = np.searchsorted(first, at, "right") - 1
+            order = np.lexsort((at, h2, h1, row))
+            at, h1, h2, row = at[order], h1[order], h2[order], row[order]
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+            start = (at - first[row]).astype(np.int32)
+            more = np.full(len(new), None, object)
+            size = np.diff(np.append(new, len(at)))
+            for i in np.flatnonzero(size > 1):
+                more[i] = start[new[i] + 1 : new[i] + size[i]].tobytes()
+            row = row[new]
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)[row]
             tkey = block.column("tkey").to_numpy(zero_copy_only=False)[row]
             yield pa.RecordBatch.from_arrays(
-                [as_long(h1), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids.astype(np.int64)), pa.array(tkey.astype(np.int32)), pa.array((at - first[row]).astype(np.int32))],
-                ["h1", "h2", "doc_id", "tkey", "start"],
+                [as_long(h1[new]), pa.array((h2[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids.astype(np.int64)), pa.array(tkey.astype(np.int32)), pa.array(start[new]), pa.array(more, pa.binary())],
+                ["h1", "h2", "doc_id", "tkey", "start", "more"],
             )
 
     return run
@@ -104,9 +126,13 @@ def _cut(window: int):
             gone, row, _ = _lists(block.column("gone"))
             mark = np.zeros(len(starts) + window + 1, np.int32)
             if len(row):
-                begin = gone.field("start").to_numpy().astype(np.int64)
-                own = gone.field("tkey").to_numpy() == block.column("tkey").to_numpy(zero_copy_only=False)[row]
-                at = np.unique(first[row[own]] + begin[own])
+                tkey = block.column("tkey").to_numpy(zero_copy_only=False)
+                own = gone.field("tkey").to_numpy() == tkey[row]
+                at = [first[row[own]] + gone.field("start").to_numpy().astype(np.int64)[own]]
+                more = gone.field("more")
+                for i in np.flatnonzero(own & np.array(more.is_valid())).tolist():
+                    at.append(first[row[i]] + np.frombuffer(more[i].as_py(), np.int32).astype(np.int64))
+                at = np.unique(np.concatenate(at))
                 mark[at] += 1
                 mark[at + window] -= 1
             twin, row, _ = _lists(block.column("copies"))
@@ -145,7 +171,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     nor loses words.  Rows that repeat a doc_id don't remove from each other.
     Texts of fewer than ``window`` words stay whole.  Other columns are ignored;
     an empty table gives an empty result."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # no alias where none is needed: the two uses of the dealt table must be the same plan for their exchange to be shared
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    docs = docs.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("tkey", F.hash("text"))
     known = docs.filter("doc_id is not null")
     # whole copies are told by one hash a document; they need no windows of their own
@@ -157,14 +185,14 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     texts = whole.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     only = copies.join(texts, "doc_id").filter("n = n_rows and n = size(copies)").select("doc_id")
     # each table is dealt once: windows over it need no second reading, and the documents' exchange serves both joins
-    anchors = known.select("doc_id", "text").mapInArrow(_anchors(window), "h long, doc_id long, pos int")
+    anchors = known.select("doc_id", "text").mapInArrow(_anchors(window), "h long, doc_id long, pos int, last int")
     same = Window.partitionBy("h")
     shared = anchors.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).filter("lo <> hi")
-    places = shared.groupBy("doc_id").agg(F.collect_list("pos").alias("pos")).join(only, "doc_id", "left_anti")
+    places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "last")).alias("pos")).join(only, "doc_id", "left_anti")
     dealt = known.repartition("doc_id")
-    windows = dealt.join(places, "doc_id").select("doc_id", "text", "tkey", "pos").mapInArrow(_windows(window), "h1 long, h2 int, doc_id long, tkey int, start int")
+    windows = dealt.join(places, "doc_id").select("doc_id", "text", "tkey", "pos").mapInArrow(_windows(window), "h1 long, h2 int, doc_id long, tkey int, start int, more binary")
     found = windows.withColumn("owner", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).filter("doc_id > owner")
-    gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "start")).alias("gone"))
+    gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "start", "more")).alias("gone"))
     marked = dealt.join(gone, "doc_id", "left").join(copies.select("doc_id", "copies"), "doc_id", "left").select("doc_id", "text", "tkey", "gone", "copies")
     nameless = docs.filter("doc_id is null").select("doc_id", "text", "tkey", F.lit(None).cast(marked.schema["gone"].dataType).alias("gone"), F.lit(None).cast("array<int>").alias("copies"))
     return marked.unionByName(nameless).mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
