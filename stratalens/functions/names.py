@@ -50,7 +50,7 @@ def java_name(symbol: Column) -> Column:
 def python_bases(signature: Column) -> Column:
     """Base classes as written in a class signature, trimmed, without empty ones."""
     inside = F.regexp_extract(signature, r"^class\s+\w+\s*\(([^)]*)\)", 1)
-    return F.filter(F.transform(F.split(inside, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clean_base(base: Column) -> Column:

@@ -121,13 +121,13 @@ def enclosing_symbols(symbols: DataFrame, probes: DataFrame) -> DataFrame:
     One sort by file and line; no range join."""
     extra = [c for c in probes.columns if c not in ("path", "line")]
     none = [F.lit(None).cast(dict(probes.dtypes)[c]).alias(c) for c in extra]
-    marks = symbols.groupBy("path", F.col("start_line").alias("line")).agg(F.max(F.struct("end_line", "symbol_id")).alias("s"))
-    both = marks.select("path", F.col("line").cast("long").alias("line"), "s", F.lit(0).alias("probe"), *none).unionByName(
-        probes.select("path", F.col("line").cast("long").alias("line"), F.lit(None).cast(marks.schema["s"].dataType).alias("s"), F.lit(1).alias("probe"), *extra)
+    marks = symbols.groupBy("path", F.col("start_line").alias("line")).agg(F.max(F.struct("end_line", "symbol_id")).alias("_s"))
+    both = marks.select("path", F.col("line").cast("long").alias("line"), "_s", F.lit(0).alias("_probe"), *none).unionByName(
+        probes.select("path", F.col("line").cast("long").alias("line"), F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_probe"), *extra)
     )
-    last = F.last("s", ignorenulls=True).over(Window.partitionBy("path").orderBy("line", "probe").rowsBetween(Window.unboundedPreceding, 0))
-    hit = both.withColumn("hit", last).filter("probe = 1")
-    return hit.select("path", "line", *extra, F.when(F.col("hit.end_line") >= F.col("line"), F.col("hit.symbol_id")).alias("src"))
+    last = F.last("_s", ignorenulls=True).over(Window.partitionBy("path").orderBy("line", "_probe").rowsBetween(Window.unboundedPreceding, 0))
+    hit = both.withColumn("_hit", last).filter("_probe = 1")
+    return hit.select("path", "line", *extra, F.when(F.col("_hit.end_line") >= F.col("line"), F.col("_hit.symbol_id")).alias("src"))
 
 
 _TO_NAME = {"go": names.go_name, "python": names.python_name, "java": names.java_name}
