@@ -137,9 +137,9 @@ def _asked(spark, sf_dir) -> list[float]:
 _ASKED = "(SELECT list_transform(arg_min(embedding, vec_id), lambda x: x::DOUBLE) FROM embeddings)"
 
 
-@_query(f"SELECT label, CAST(i AS INTEGER) AS dim, round(x, 4) AS value FROM ({_CENTRE})")
+@_query(f"SELECT label, CAST(i AS INTEGER) AS dim, round(x, 4) + 0.0 AS value FROM ({_CENTRE})")
 def concept_centroids(spark, sf_dir):
-    return _centres(spark, sf_dir).select("label", F.posexplode("c").alias("dim", "x")).select("label", (F.col("dim") + 1).alias("dim"), F.round("x", ROUND).alias("value"))
+    return _centres(spark, sf_dir).select("label", F.posexplode("c").alias("dim", "x")).select("label", (F.col("dim") + 1).alias("dim"), (F.round("x", ROUND) + 0.0).alias("value"))
 
 
 @_query(f"SELECT vec_id, e.label, round({_DIST}, 4) AS distance FROM embeddings e JOIN ({_CENTRES}) c USING (label)")
