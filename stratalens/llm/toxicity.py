@@ -53,8 +53,8 @@ def _pieces(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     length = np.minimum(PIECE, first[1:][row] - begin)
     order = np.argsort(-length, kind="stable")
     begin, length = begin[order], length[order]
-    t = np.arange(PIECE)[:, None]
-    return begin[None, :] + t, t < length[None, :]
+    t = np.arange(PIECE, dtype=np.int32)[:, None]
+    return begin[None, :].astype(np.int32) + t, t < length[None, :]
 
 
 def _carry(x: np.ndarray, to1: tuple[float, float], to0: tuple[float, float]) -> np.ndarray:
@@ -91,7 +91,9 @@ class ToxicField:
         out = np.zeros(len(feats))
         if not len(feats):
             return out
-        e = self.weights[feats].sum(1, dtype=np.float64) + self.bias
+        e = np.full(len(feats), self.bias)
+        for i in range(feats.shape[1]):
+            e += self.weights[feats[:, i]]
         at, held = _pieces(first)
         grid = np.where(held, e[np.minimum(at, len(e) - 1)], 0.0)
         f, b = forward_backward(grid, held, self.trans)
@@ -169,11 +171,16 @@ def token_labels(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fresh: n
 
 def train(texts: list[bytes], toxic: list[int], epochs: int = 6, rate: float = 0.3, decay: float = 1e-6, seed: int = 5) -> ToxicField:
     """Adagrad on the chains' conditional log-likelihood, then the calibration."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    y_doc = np.array(toxic, bool)
-    _, _, first, feats = tokens(data, offsets)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    y_doc, parts, counts = np.array(toxic, bool), [], [np.zeros(1, np.int64)]
+    for lo in range(0, len(texts), 256):
+        some = texts[lo : lo + 256]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in some])]).astype(np.int64)
+        _, _, first, feats = tokens(np.frombuffer(b"".join(some), np.uint8), offsets)
+        parts.append(feats)
+        counts.append(first[1:] + counts[-1][-1])
+    feats, first = np.concatenate(parts), np.concatenate(counts)
+    del parts, counts
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
     fresh = distinct_documents(doc, feats[:, 0], len(texts))
     y = token_labels(feats, doc, y_doc, fresh)
     w, acc = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
@@ -216,7 +223,7 @@ def train(texts: list[bytes], toxic: list[int], epochs: int = 6, rate: float = 0
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: int = 20000) -> ToxicField | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 12000) -> ToxicField | None:
     """Trains on a bounded sample: of each class at most ``per_class`` labelled
     documents of at most ``longest`` characters, by a hash of doc_id.
 
@@ -230,7 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: int
     toxic = rows.column("toxic").to_pylist()
     if len(set(toxic)) < 2:
         return None
-    return train([t.encode() for t in rows.column("text").to_pylist()], toxic)
+    texts = [t.as_py().encode() for t in rows.column("text")]
+    del rows
+    return train(texts, toxic)
 
 
 def _score(field: ToxicField | None, level: float):
