@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._text import IS_SPACE, U, _P1, _prefix, blocks, byte_table, flat_ranges, mix
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 _TABLE = byte_table(5)
 _PACKED = "chunk string, bucket int, payload binary"
 _JOINED = 2000
