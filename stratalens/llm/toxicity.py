@@ -16,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import lowest_by_hash
 from ._text import LOWER, U, _P1, _prefix, blocks, byte_table, mix, words_of
 
 BITS, PIECE = 18, 64
@@ -132,8 +133,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def distinct_documents(doc: np.ndarray, words: np.ndarray, n: int, keep: int = 16, shared: int = 8) -> np.ndarray:
     """Which of n documents aren't copies, exact or near, of one before: of the
-    ``keep`` smallest word buckets a copy shares at least ``shared``."""
-    pair = np.unique(doc.astype(np.int64) << 32 | mix(words.astype(U)).astype(np.int64) & 0xFFFFFFFF)
+    ``keep`` smallest hashes of three words in a row a copy shares at least ``shared``."""
+    rows = words.astype(U)
+    rows = mix(rows + np.append(rows[1:], U(0)) * U(1 << 20) + np.append(rows[2:], np.zeros(min(2, len(rows)), U)) * U(1 << 40))
+    pair = np.unique(doc.astype(np.int64) << 32 | (rows >> U(33)).astype(np.int64))
     own, first = pair & 0xFFFFFFFF, np.searchsorted(pair >> 32, np.arange(n + 1))
     holders: dict[int, list[int]] = {}
     fresh = np.ones(n, bool)
@@ -169,8 +172,8 @@ def token_labels(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fresh: n
     return (marked & toxic[doc]).astype(np.float64)
 
 
-def train(texts: list[bytes], toxic: list[int], epochs: int = 6, rate: float = 0.3, decay: float = 1e-6, seed: int = 5) -> ToxicField:
-    """Adagrad on the chains' conditional log-likelihood, then the calibration."""
+def train(texts: list[bytes], toxic: list[int], epochs: int = 6, steps: int = 150, rate: float = 0.3, decay: float = 1e-6, seed: int = 5) -> ToxicField:
+    """Adagrad on the chains' conditional log-likelihood (``epochs``, and ``steps`` at least), then the calibration."""
     y_doc, parts, counts = np.array(toxic, bool), [], [np.zeros(1, np.int64)]
     for lo in range(0, len(texts), 256):
         some = texts[lo : lo + 256]
@@ -188,6 +191,7 @@ def train(texts: list[bytes], toxic: list[int], epochs: int = 6, rate: float = 0
     g2b, g2t = 1e-2, np.full((2, 2), 1e-2)
     rng = np.random.default_rng(seed)
     at, held = _pieces(first)
+    epochs = max(epochs, -(-steps // max(1, -(-at.shape[1] // 2048))))
     for _ in range(epochs if len(feats) else 0):
         order = rng.permutation(at.shape[1])
         for lo in range(0, len(order), 2048):
@@ -231,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int
     largest of repeated labels counts).  None without both classes."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     near = docs.filter(F.length("text") <= longest).select("doc_id", "text").join(known, "doc_id")
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
-    ids = near.select("doc_id", "toxic").withColumn("rank", rank).filter(F.col("rank") <= per_class).select("doc_id", "toxic")
+    counts = known.groupBy("toxic").agg(F.count("*").alias("n"))
+    ids = lowest_by_hash(near.select("doc_id", "toxic"), "toxic", counts, per_class, 3).select("doc_id", "toxic")
     rows = docs.filter(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     toxic = rows.column("toxic").to_pylist()
     if len(set(toxic)) < 2:
