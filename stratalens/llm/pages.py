@@ -209,7 +209,7 @@ class _Flow:
         self.break_line(False)
         while self.lines and not self.lines[-1]:
             self.lines.pop()
-        return "\n".join(self.lines)
+        return "\n".join(self.lines).replace("\u00a0", " ")
 
 
 def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
@@ -262,7 +262,7 @@ def page_text(page: str) -> str:
     for kind, tag, what in tree_events(page):
         if kind == "text":
             if not hidden and what:
-                flow.text(what.replace(" ", " "), indent, pre > 0)
+                flow.text(what, indent, pre > 0)
         elif kind == "start":
             hides = tag in UNSEEN or "hidden" in what or bool(_HIDING.search(what.get("style", ""))) or (tag == "input" and what.get("type", "").lower() == "hidden")
             if not hides and hiding:
