@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import lowest_by_hash
 from ._text import blocks, flat_ranges
 
 WINDOW = 256
@@ -65,8 +66,8 @@ class ByteCnn:
         return out
 
 
-def train(texts: list[bytes], labels: list[str], dims: int = 8, filters: int = 16, epochs: int = 12, batch: int = 64, seed: int = 7) -> ByteCnn:
-    """Adam on cross-entropy; each text gives one window, randomly shortened so that short texts are known too."""
+def train(texts: list[bytes], labels: list[str], dims: int = 8, filters: int = 16, epochs: int = 12, steps: int = 400, batch: int = 64, seed: int = 7) -> ByteCnn:
+    """Adam on cross-entropy for ``epochs``, and ``steps`` at least; each text gives one window, randomly shortened so that short texts are known too."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels])
@@ -79,7 +80,7 @@ def train(texts: list[bytes], labels: list[str], dims: int = 8, filters: int = 1
         p[f"f{w}"] = rng.normal(0, 1 / np.sqrt(w * dims), (w, dims, filters))
         p[f"b{w}"] = np.zeros(filters)
     m1, m2, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps // -(-len(x) // batch)))):
         order = rng.permutation(len(x))
         for lo in range(0, len(order), batch):
             take = order[lo : lo + batch]
@@ -128,16 +129,10 @@ def labelled_windows(docs: DataFrame, per_label: int = 1200) -> tuple[list[bytes
     """A bounded sample for training: at most ``per_label`` rows of each lang by
     a hash of doc_id, from each a stretch of WINDOW characters at a hashed place."""
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id"))
-    rows = (
-        docs.filter("lang is not null and length(text) > 0")
-        .select("doc_id", "lang", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece"))
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= per_label)
-        .orderBy("lang", "rank")
-        .select("lang", "piece")
-        .collect()
-    )
+    spoken = docs.filter("lang is not null and length(text) > 0")
+    counts = docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    pieces = spoken.select("doc_id", "lang", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece"))
+    rows = lowest_by_hash(pieces, "lang", counts, per_label, 2).orderBy("lang", "rank").select("lang", "piece").collect()
     return [r.piece.encode() for r in rows], [r.lang for r in rows]
 
 
