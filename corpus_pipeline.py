@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratalens.llm import bpe, domains, mixing, neardup, secrets, toxicity
 from stratalens.llm._store import materialize, read_table
+from stratalens.session import reachable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC_FROM = 0.7
@@ -20,13 +21,14 @@ TOXIC_FROM = 0.7
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored toxic.  The field is trained on docs and the labels table; a null text stays."""
-    field = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    field = toxicity.fit(docs, read_table(reachable(spark), sf_dir, "labels"))
     return toxicity.keep_below(docs.select(*COLUMNS), field, TOXIC_FROM)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8),
     the one with the smallest doc_id; of rows that repeat a doc_id, one.  Null doc_ids stay."""
+    reachable(spark)
     docs = docs.select(*COLUMNS)
     kept = neardup.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
@@ -52,6 +54,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), text_sha256 of the decoded text."""
     import public_tokenizers
 
+    reachable(spark)
     out = bpe.encode_decode(docs.select(*COLUMNS), str(public_tokenizers.path("byte_bpe_50k.json")))
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
