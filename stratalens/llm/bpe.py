@@ -23,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import IS_SPACE, U, _P1, _prefix, blocks, byte_table, flat_ranges, mix
+from ._text import IS_SPACE, U, _P1, _prefix, blocks, byte_table, flat_ranges, give_back, mix
 
 CHUNK_BYTES = 12 << 20
 _TABLE = byte_table(5)
 _PACKED = "chunk string, bucket int, payload binary"
-_JOINED = 2000
+#: Words joined for one call, and texts of one call.
+_JOINED, _AT_ONCE = 2000, 8
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -82,22 +83,25 @@ class _Chunk:
         self.hashes.append(mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U)))
         self.counts.append(np.diff(np.searchsorted(starts, offsets)))
         self.starts.append(starts + self.bytes)
-        self.data.append(data)
-        self.ids.append(block.column("doc_id"))
+        self.data.append(data.copy())  # a view would keep the whole batch
+        ids = block.column("doc_id")
+        self.ids.append((ids.fill_null(0).to_numpy().astype(np.int64), np.array(ids.is_null()).astype(np.uint8)))
         self.bytes += len(data)
 
     def rows(self, place: str, buckets: int, words: bool) -> Iterator[tuple[str, int, bytes]]:
         """(chunk, bucket, payload): each bucket's words, or the one row of the documents.
 
         The chunk is named by its place and its words, so that both readings agree or fail."""
-        h = np.concatenate(self.hashes)
+        h, self.hashes = np.concatenate(self.hashes), []
         own, first, number, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         name = f"{place}-{int(np.bitwise_xor.reduce(own)) if len(own) else 0:x}-{len(h)}"
+        del h
         order = np.argsort(-times, kind="stable")
         bucket = ((own >> U(32)) * U(buckets) >> U(32)).astype(np.int64)[order]
         if words:
-            raw = np.concatenate(self.data)
-            starts = np.concatenate(self.starts)
+            del number
+            raw, self.data = np.concatenate(self.data), []
+            starts, self.starts = np.concatenate(self.starts), []
             length = np.diff(np.append(starts, len(raw)))[first[order]]
             begin = starts[first[order]]
             by_bucket = np.argsort(bucket, kind="stable")
@@ -110,9 +114,9 @@ class _Chunk:
             rank = np.empty(len(own), np.uint32)
             rank[order] = np.arange(len(own), dtype=np.uint32)
             planes = rank[number.ravel()].astype("<u4").view(np.uint8).reshape(-1, 4)
-            ids = pa.chunked_array(self.ids).combine_chunks()
-            null = np.array(ids.is_null()).astype(np.uint8)
-            yield name, -1, _pack(ids.fill_null(0).to_numpy().astype(np.int64), null, np.concatenate(self.counts).astype(np.int32), bucket.astype(np.int32), *(np.ascontiguousarray(planes[:, i]) for i in range(4)))
+            del number, first
+            ids, null = (np.concatenate([x[i] for x in self.ids]) for i in (0, 1))
+            yield name, -1, _pack(ids, null, np.concatenate(self.counts).astype(np.int32), bucket.astype(np.int32), *(np.ascontiguousarray(planes[:, i]) for i in range(4)))
 
 
 def _split(buckets: int, words: bool):
@@ -130,6 +134,8 @@ def _split(buckets: int, words: bool):
                 number, chunk = number + 1, _Chunk()
         if chunk.ids:
             yield from out()
+        chunk = None
+        give_back()
 
     return run
 
@@ -159,30 +165,28 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(made), np.uint8), np.cumsum(length) - length, length
 
 
-def encode_words(t, piece_bytes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of each word, and all ids in a row.
+def encode_words(t, piece_bytes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, and where each word's begin and how many they are.
 
-    Words that begin with white space and end in a solid character are handed to
-    the tokenizer many at a time: no pre-token reaches over their borders, and
+    Words that begin with white space and end in a solid character (by the rule of
+    word_starts) are handed to the tokenizer many at a time: no pre-token reaches over their borders, and
     the pieces' lengths tell where each word's ids end."""
-    safe = [i for i, w in enumerate(words) if w[0] in b" \t\n\x0b\x0c\r" and 0x21 <= w[-1] <= 0x7E and not (w[-1] == 0x3E and b"<|" in w)]
-    size, kept = np.zeros(len(words), np.int64), {}
-    for lo in range(0, len(safe), 64 * _JOINED):
-        groups = [safe[i : i + _JOINED] for i in range(lo, min(lo + 64 * _JOINED, len(safe)), _JOINED)]
-        for group, e in zip(groups, t.encode_batch_fast([b"".join(words[i] for i in g).decode() for g in groups], add_special_tokens=False), strict=True):
+    safe = [i for i, w in enumerate(words) if w[0] in b" \t\n\x0b\x0c\r" and (0x21 <= w[-1] <= 0x7E or w[-1] >= 0x80 and w[-2] not in (0xC2, 0x9A, 0x80, 0x81))]
+    begin, size, flat, done = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)], 0
+    groups = [safe[i : i + _JOINED] for i in range(0, len(safe), _JOINED)]
+    chosen = np.zeros(len(words), bool)
+    chosen[safe] = True
+    groups += [[i] for i in np.flatnonzero(~chosen).tolist()]
+    for at in range(0, len(groups), _AT_ONCE):
+        some = groups[at : at + _AT_ONCE]
+        for group, e in zip(some, t.encode_batch_fast([b"".join(words[i] for i in g).decode() for g in some], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             ends = np.concatenate([[0], np.cumsum(piece_bytes[ids])])
-            at = np.searchsorted(ends, np.concatenate([[0], np.cumsum([len(words[i]) for i in group])]))
-            size[group] = np.diff(at)
-            for i, a, b in zip(group, at.tolist(), at.tolist()[1:], strict=False):
-                kept[i] = ids[a:b]
-    rest = sorted(set(range(len(words))) - set(safe))
-    for lo in range(0, len(rest), 4096):
-        part = rest[lo : lo + 4096]
-        for i, e in zip(part, t.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False), strict=True):
-            kept[i] = np.array(e.ids, np.uint32)
-            size[i] = len(kept[i])
-    return size, np.concatenate([kept[i] for i in range(len(words))]) if words else np.zeros(0, np.uint32)
+            cut = np.searchsorted(ends, np.concatenate([[0], np.cumsum([len(words[i]) for i in group])]))
+            begin[group], size[group] = done + cut[:-1], np.diff(cut)
+            flat.append(ids)
+            done += len(ids)
+    return np.concatenate(flat), begin, size
 
 
 def _encode(path: str):
@@ -198,12 +202,13 @@ def _encode(path: str):
         for own in lists:
             for w in own:
                 number.setdefault(w, len(number))
-        size, flat = encode_words(t, _pieces(path)[2], list(number))
-        begin = np.cumsum(size) - size
+        flat, begin, size = encode_words(t, _pieces(path)[2], list(number))
         out = []
         for own in lists:
             n = np.array([number[w] for w in own], np.int64)
             out.append(_pack(flat[flat_ranges(begin[n], size[n])], size[n].astype(np.int32)))
+        del number, flat, lists
+        give_back()
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "payload": pa.array(out, pa.binary())})
 
     return run
@@ -231,7 +236,7 @@ def _join(path: str):
             edge = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
             lo = 0
             while lo < len(ids):  # about a million ids at a time
-                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + 300_000, "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + 150_000, "right")) - 1)
                 own = place[edge[lo] : edge[hi]]
                 n = size[own]
                 got = flat[flat_ranges(begin[own], n)]
@@ -278,7 +283,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     whole = _join(tokenizer_path)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(whole(left, right), schema=_OUT)
+        out = pa.Table.from_batches(whole(left, right), schema=_OUT)
+        give_back()
+        return out
 
     both = numbered.groupBy("chunk").cogroup(coded.groupBy("chunk"))
     return both.applyInArrow(join, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialize
-from ._text import LOWER, U, Block, as_long, blocks, byte_table, mix, run_hashes, span_hashes
+from ._text import LOWER, U, Block, as_long, blocks, byte_table, give_back, mix, run_hashes, span_hashes
 from .components import connected_components
 
 M, ROWS, A, BASE, Q = 128, 4, 20.0, 1.001, 32765
@@ -119,6 +119,7 @@ def _sketch_batches(k: int):
             regs = registers(np.concatenate(parts), np.concatenate([[0], np.cumsum(n)]))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(block.rows + 1, dtype=np.int32) * M), pa.array(regs.ravel()))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n), as_long(mix(h1)), as_long(mix(h2)), flat], ["doc_id", "n_shingles", "h1", "h2", "regs"])
+        give_back()
 
     return run
 
@@ -137,6 +138,7 @@ def _set_batches(k: int):
             parts = [np.unique(hashes[at[r] : at[r + 1]]) for r in range(block.rows)]
             blobs = [p.tobytes() for p in parts]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(blobs, pa.binary())], ["node", "items"])
+        give_back()
 
     return run
 

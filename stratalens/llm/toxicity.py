@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import lowest_by_hash
-from ._text import LOWER, U, _P1, _prefix, blocks, byte_table, mix, words_of
+from ._text import LOWER, U, _P1, _prefix, blocks, byte_table, give_back, mix, words_of
 
 BITS, PIECE = 18, 64
 #: (from the start?, bytes); 0 bytes: the whole word
@@ -300,5 +300,6 @@ def keep_below(docs: DataFrame, field: ToxicField | None, threshold: float = 0.7
                 z = summary(field.marginals(first, feats), first) @ field.calibration
                 own = own.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
             yield own
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
