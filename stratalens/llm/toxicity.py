@@ -243,7 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int
         return None
     texts = [t.as_py().encode() for t in rows.column("text")]
     del rows
-    return train(texts, toxic)
+    field = train(texts, toxic)
+    give_back()
+    return field
 
 
 def _score(field: ToxicField | None, level: float):
