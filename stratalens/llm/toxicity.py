@@ -153,21 +153,49 @@ def distinct_documents(doc: np.ndarray, words: np.ndarray, n: int, keep: int = 1
     return fresh
 
 
-def token_labels(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fresh: np.ndarray, purity: float = 0.75, sigma: float = 8.0) -> np.ndarray:
+def background(words: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """For each document the toxic share of the other documents that share its words,
+    each counted once for each word in common, so that a language is held against
+    itself; 1, which proves nothing, where there are none."""
+    counted = fresh[doc]
+    pair = np.unique(doc[counted].astype(np.int64) << 32 | words[counted])
+    own, holder = pair & 0xFFFFFFFF, pair >> 32
+    n = np.bincount(own, minlength=1 << BITS)
+    a = np.bincount(own[toxic[holder]], minlength=1 << BITS)
+    others = np.bincount(holder, n[own] - 1, minlength=len(toxic))
+    bad = np.bincount(holder, a[own] - toxic[holder], minlength=len(toxic))
+    return np.where(others > 0, bad / np.maximum(others, 1), 1.0)
+
+
+def token_labels(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fresh: np.ndarray, purity: float = 0.75, false: float = 0.01) -> np.ndarray:
     """1 for tokens of toxic documents with a feature that, with classes weighed
-    alike, is found in toxic documents ``purity`` of the time, and in ``sigma``
-    standard deviations more of them than chance allows.  Copies count once."""
-    rate = (toxic & fresh).sum() / max(fresh.sum(), 1)
-    share = rate / max(1 - rate, 1e-9)
+    alike, is found in toxic documents ``purity`` of the time, and in more of them
+    than chance allows.  Copies count once.
+
+    Chance is the background of the documents that hold the feature.  The tail
+    is Chernoff's bound of the binomial; Benjamini and Hochberg's procedure over all
+    features of a kind keeps the share of ``false`` findings, so the bar follows the
+    evidence and not the sample's size or a language's share of it."""
+    rate = background(feats[:, 0], doc, toxic, fresh)
     marked = np.zeros(len(doc), bool)
     counted = fresh[doc]
     for i in range(feats.shape[1]):
         pair = np.unique(doc[counted].astype(np.int64) << 32 | feats[counted, i])
-        own, where = (pair & 0xFFFFFFFF).astype(np.int64), toxic[pair >> 32]
-        a = np.bincount(own[where], minlength=1 << BITS)
-        b = np.bincount(own[~where], minlength=1 << BITS)
-        by_chance = np.maximum((a + b) * rate, 0.25)
-        pure = (a >= purity * (a + b * share)) & (a - by_chance >= sigma * np.sqrt(by_chance)) & (a > 0)
+        own, holder = (pair & 0xFFFFFFFF).astype(np.int64), pair >> 32
+        n = np.bincount(own, minlength=1 << BITS)
+        a = np.bincount(own[toxic[holder]], minlength=1 << BITS)
+        found = np.flatnonzero(n)
+        n, a = n[found], a[found]
+        chance = np.clip(np.bincount(own, rate[holder], minlength=1 << BITS)[found] / n, 1e-6, 1 - 1e-6)
+        x = a / n
+        tail = -n * (x * np.log(np.maximum(x, 1e-12) / chance) + (1 - x) * np.log(np.maximum(1 - x, 1e-12) / (1 - chance)))
+        tail = np.where(x > chance, tail, 0.0)
+        ranked = np.sort(tail)
+        passing = np.flatnonzero(ranked <= np.log(false * np.arange(1, len(found) + 1) / max(len(found), 1)))
+        if not len(passing):
+            continue
+        pure = np.zeros(1 << BITS, bool)
+        pure[found] = (tail <= ranked[passing[-1]]) & (a >= purity * (a + (n - a) * chance / (1 - chance)))
         marked |= pure[feats[:, i]]
     return (marked & toxic[doc]).astype(np.float64)
 

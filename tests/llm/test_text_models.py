@@ -102,3 +102,27 @@ def test_toxicity_edges(docs, none, labelled):
     assert toxicity.fit(labelled[0], labelled[1].filter("toxic = 0")) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.keep_below(docs, None).count() == docs.count() and toxicity.keep_below(docs, None).columns == docs.columns
+
+
+def test_toxic_words_of_a_minority_language_are_marked():
+    rng = np.random.default_rng(9)
+    sets = {"main": ["the", "river", "stone", "paper", "garden", "music"], "few": ["los", "ríos", "calles", "puente", "noche", "sombra"], "grim": ["und", "wald", "haus", "strasse", "nacht", "regen"]}
+    texts, toxic, kind = [], [], []
+    for lang, bad, n in (("main", 1, 400), ("main", 0, 400), ("few", 1, 32), ("few", 0, 32), ("grim", 1, 32), ("grim", 0, 8)):
+        for _ in range(n):
+            w = [f"{x}{rng.integers(40)}" for x in rng.choice(sets[lang], 30)]
+            w = [x.rstrip("0123456789") + "abcdefghij"[int(x[-1])] for x in w]
+            if bad and lang != "grim":
+                w[int(rng.integers(30))] = {"main": "scumbag", "few": "boment"}[lang] + str(rng.choice(["ko", "ra", "lu"]))
+            texts.append(" ".join(w).encode())
+            toxic.append(bad)
+            kind.append(lang)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    starts, ends, first, feats = toxicity.tokens(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
+    y = toxicity.token_labels(feats, doc, np.array(toxic, bool), np.ones(len(texts), bool))
+    marked = {k: sum(y[first[d] : first[d + 1]].any() for d in range(len(texts)) if kind[d] == k and toxic[d]) for k in sets}
+    assert marked["main"] == 400 and marked["few"] == 32
+    assert marked["grim"] == 0  # a language with mostly toxic documents isn't toxic by its words
+    joined = b"".join(texts)
+    assert all(joined[s:e].startswith((b"scumbag", b"boment")) for s, e in zip(starts[y > 0], ends[y > 0], strict=True))
