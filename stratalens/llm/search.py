@@ -64,14 +64,19 @@ def _search(k: int):
         ids, kind = table.column("id").to_numpy(), table.column("kind").to_numpy()
         vec, _ = _matrix(table.column("v").combine_chunks() if table.column("v").num_chunks != 1 else table.column("v").chunk(0))
         q, c = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        c = c[np.argsort(ids[c], kind="stable")]
         out = ([], [], [])
         for lo in range(0, len(c), CANDIDATES) if len(q) else ():
             part = c[lo : lo + CANDIDATES]
             total = scores(vec[q], vec[part])
-            total[ids[q][:, None] == ids[part][None, :]] = np.iinfo(np.int64).min
-            r, x = best(total, ids[part], k)
+            own, begin = np.unique(ids[part], return_index=True)
+            if len(own) < len(part):
+                # rows that repeat an id take one place, with their best score
+                total = np.maximum.reduceat(total, begin, axis=1)
+            total[ids[q][:, None] == own[None, :]] = np.iinfo(np.int64).min
+            r, x = best(total, own, k)
             out[0].append(ids[q][r])
-            out[1].append(ids[part][x])
+            out[1].append(own[x])
             out[2].append(total[r, x])
         return pa.table({n: np.concatenate(o) if o else np.zeros(0, np.int64) for n, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
@@ -101,14 +106,14 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 25
     columns are ignored; an empty table gives none.
 
     Queries are blocks of QUERY_BLOCK rows and each block meets every candidate
-    once, candidates dealt out evenly by hash; nothing is broadcast, no pair is emitted beyond
+    once, candidates dealt out evenly by a hash of id and vector; nothing is broadcast, no pair is emitted beyond
     the k best of each block."""
     base = quantize(vectors, scale).distinct()
     asks = base.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     n_queries, n_rows = asks.count(), base.count()
     q_blocks, c_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // (2 * CANDIDATES)))
     qb = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks))
-    cb = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(c_blocks))
+    cb = F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(c_blocks))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asks.select("id", "v", F.lit(0).alias("kind"), qb.cast("int").alias("q")).withColumn("c", spread(c_blocks))
     right = base.select("id", "v", F.lit(1).alias("kind"), cb.cast("int").alias("c")).withColumn("q", spread(q_blocks))

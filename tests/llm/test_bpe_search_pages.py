@@ -67,6 +67,24 @@ def test_search(spark):
     assert search.exact_top_k(table.limit(0)).collect() == []
 
 
+def test_search_counts_a_repeated_id_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6)]) for i in range(120)]
+    rows += [(i, [float(x) * 4 for x in rows[50 * (i % 3)][1][:5]] + [float(j)]) for i in (7, 150, 51) for j in range(12)]
+    want = []
+    for q in (0, 50, 100, 150):
+        ask = min([256 * int(x) for x in v] for i, v in rows if i == q)
+        top = {}
+        for c, v in rows:
+            if c != q:
+                top[c] = max(top.get(c, -(10**12)), sum(a * 256 * int(b) for a, b in zip(ask, v, strict=True)))
+        want += [(q, n, c, s) for n, (c, s) in enumerate(sorted(top.items(), key=lambda x: (-x[1], x[0]))[:5], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for size in (4096, 16):
+        monkeypatch.setattr(search, "CANDIDATES", size)
+        assert sorted(tuple(r) for r in search.exact_top_k(table).collect()) == sorted(want), size
+
+
 def test_accumulation_equals_product():
     rng = np.random.default_rng(2)
     q, c = rng.integers(-2, 3, (7, 9)), rng.integers(-2, 3, (20, 9))
