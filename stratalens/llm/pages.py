@@ -40,8 +40,11 @@ SCOPE = frozenset("table td th caption html template button object".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SHOWING = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)([^;]*)", re.I)
+_CSS = re.compile(r"\"[^\"]*\"|'[^']*'|[{};]")
+_LIMIT = re.compile(r"\(\s*(min|max)-(?:device-)?(width|height)\s*:\s*(\d*\.?\d+)\s*(px|r?em|)\s*\)")
+#: The screen that pages are shown on, in pixels; a font's em is 16 of them.
+SCREEN = {"width": 1280, "height": 800}
 CELL_PAD = 40
 
 
@@ -135,16 +138,97 @@ def tree_events(page: str) -> Iterator[tuple[str, str, dict | str]]:
     yield from close_to(0)
 
 
-def hidden_selectors(page: str) -> set[str]:
-    """Simple selectors (tag, .class, #id) that the page's style sheets hide."""
-    out: set[str] = set()
-    for sheet in re.findall(r"<style[^>]*>(.*?)(?:</style|\Z)", page, re.S | re.I):
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _HIDING.search(body):
-                out |= {s.strip().lower() for s in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
+def on_screen(query: str) -> bool:
+    """Whether one of a list of media queries surely holds for SCREEN: an unknown condition doesn't."""
+
+    def holds(one: str) -> bool:
+        m = re.fullmatch(r"(?:(not|only)\s+)?([a-z-]+)?((?:\s*(?:and\b)?\s*\([^()]*\))*)", one)
+        if not m or m[1] == "not" and m[3]:
+            return False
+        if (m[2] in (None, "all", "screen")) == (m[1] == "not"):
+            return False
+        for part in re.findall(r"\([^()]*\)", m[3]):
+            x = _LIMIT.fullmatch(part)
+            if x:
+                size = float(x[3]) * (16 if x[4].endswith("em") else 1)
+                if SCREEN[x[2]] < size if x[1] == "min" else SCREEN[x[2]] > size:
+                    return False
+            elif not re.fullmatch(r"\(\s*orientation\s*:\s*landscape\s*\)", part):
+                return False
+        return True
+
+    return not query.strip() or any(holds(q.strip()) for q in query.lower().split(","))
+
+
+def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet's rules that hold on the screen, in order."""
+    open_blocks: list[list] = []  # selectors or None, whether it holds, declarations
+    start = 0
+    for m in _CSS.finditer(sheet + "}" * (sheet.count("{") + 1)):
+        what = m[0]
+        if what[0] in "\"'":
+            continue
+        text, start = sheet[start : m.start()].strip(), m.end()
+        top = open_blocks[-1] if open_blocks else None
+        if what == "{":
+            holds = top is None or top[1]
+            if text.startswith("@"):
+                name, _, rest = text[1:].partition(" ") if "(" not in text.split(" ")[0] else (text[1 : text.index("(")], "", text[text.index("(") :])
+                name = name.lower()
+                open_blocks.append([None, holds and (top is None or top[0] is None) and (name == "layer" or name == "media" and on_screen(rest)), []])
+            else:
+                open_blocks.append([text, holds and (top is None or top[0] is None), []])
+        else:
+            if top is not None:
+                top[2].append(text)
+            if what == "}" and top is not None:
+                open_blocks.pop()
+                if top[0] is not None and top[1]:
+                    yield top[0], ";".join(top[2])
+
+
+def _verdicts(declarations: str) -> dict[str, tuple[bool, bool]]:
+    """For display and visibility whether the winning declaration is important, and whether it hides."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for prop, value, more in _SHOWING.findall(declarations):
+        important = "important" in more.lower()
+        if important or not out.get(prop.lower(), (False, False))[0]:
+            out[prop.lower()] = important, value.lower() in ("none", "hidden", "collapse")
     return out
 
 
+def hidden_selectors(page: str) -> dict[str, dict[str, tuple]]:
+    """For simple selectors (tag, .class, #id) of the page's style sheets, if any of them
+    hides: the (important, specificity, order, hides) of display and visibility that win."""
+    out: dict[str, dict[str, tuple]] = {}
+    order = 0
+    for attrs, sheet in re.findall(r"<style([^>]*)>(.*?)(?:</style|\Z)", page, re.S | re.I):
+        if not on_screen(_attrs(attrs).get("media", "")):
+            continue
+        for selectors, body in style_rules(re.sub(r"<!--|-->|/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
+            order += 1
+            for prop, (important, hides) in _verdicts(body).items():
+                for name in selectors.split(","):
+                    if re.fullmatch(r"\s*[.#]?[\w-]+\s*", name):
+                        name = name.strip().lower()
+                        own = important, {".": 1, "#": 2}.get(name[0], 0), order, hides
+                        was = out.setdefault(name, {})
+                        was[prop] = max(was.get(prop, own), own)
+    return out if any(x[3] for rule in out.values() for x in rule.values()) else {}
+
+
+def _hidden(tag: str, attrs: dict[str, str], rules: dict[str, dict[str, tuple]]) -> bool:
+    """Whether styles hide an element."""
+    won: dict[str, tuple] = {}
+    for name in (tag, f"#{attrs.get('id', '').lower()}", *(f".{c.lower()}" for c in attrs.get("class", "").split())) if rules else ():
+        for prop, own in rules.get(name, {}).items():
+            won[prop] = max(won.get(prop, own), own)
+    for prop, (important, hides) in _verdicts(attrs.get("style", "")).items() if "style" in attrs else ():
+        own = important, 3, 0, hides
+        won[prop] = max(won.get(prop, own), own)
+    return any(x[3] for x in won.values())
+
+
 class _Flow:
     """Lines of one block context: the page or a table cell."""
 
@@ -264,9 +348,7 @@ def page_text(page: str) -> str:
             if not hidden and what:
                 flow.text(what, indent, pre > 0)
         elif kind == "start":
-            hides = tag in UNSEEN or "hidden" in what or bool(_HIDING.search(what.get("style", ""))) or (tag == "input" and what.get("type", "").lower() == "hidden")
-            if not hides and hiding:
-                hides = tag in hiding or f"#{what.get('id', '').lower()}" in hiding or any(f".{c.lower()}" in hiding for c in what.get("class", "").split())
+            hides = tag in UNSEEN or "hidden" in what or (tag == "input" and what.get("type", "").lower() == "hidden") or _hidden(tag, what, hiding)
             path.append((tag, hides))
             hidden += hides
             if hidden:

@@ -111,6 +111,28 @@ def test_page_text(page, want):
     assert pages.page_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "style, shown",
+    [
+        ("@media print{.x{display:none}}", True),
+        ("@media (max-width:600px){.y{color:red}.x{display:none}}", True),
+        ("@media screen and (min-width:40em){.x{display:none}}", False),
+        ("@media only screen and (max-width:600px), print{.x{display:none}}", True),
+        ("@media not print{.x{display:none}}", False),
+        ("@import 'a.css';@font-face{src:url('}')}.x{display:none}", False),
+        (".x{display:none}.x{display:block}", True),
+        (".x{display:none}@media print{.x{display:block}}", False),
+        (".x{display:none}div{display:block}", False),
+        (".x{display:none!important}.x{display:block}", False),
+        ("@media print{.y{color:red}}.x{display:none", False),
+    ],
+)
+def test_hiding_rules_that_hold_on_a_screen(style, shown):
+    assert pages.page_text(f"<style>{style}</style>a<div class=x>b</div>") == ("a\nb" if shown else "a")
+    assert pages.page_text("<style media=print>.x{display:none}</style>a<i class=x>b</i>") == "ab"
+    assert pages.page_text("<style>.x{display:none}</style>a<i class=x style='display:inline'>b</i>") == "ab"
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (2, "v", "<div>" * 5000 + "deep"), (3, "w", "word " * 50000)]
     out = pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(0))).collect()
