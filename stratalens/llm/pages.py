@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist svg math".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist".split())
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
+#: Parts of a drawing without text of their own, and elements that show text in one.
+SVG_UNSEEN, SVG_TEXT = frozenset("defs desc metadata symbol clippath mask marker pattern".split()), frozenset({"text", "foreignobject"})
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
 BLOCK = MARGIN | frozenset(
     "html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main menu nav option section summary tr caption thead tbody tfoot optgroup".split()
@@ -69,6 +73,8 @@ def tree_events(page: str) -> Iterator[tuple[str, str, dict | str]]:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
+            if stack and stack[-1] == "head" and text.strip(" \t\n\r\f"):
+                yield from close_to(len(stack) - 1)
             if stack and stack[-1] in ("table", "tr", "tbody", "thead", "tfoot") and text.strip():
                 # stray text in a table belongs to a cell of its own
                 if stack[-1] != "tr":
@@ -91,6 +97,8 @@ def tree_events(page: str) -> Iterator[tuple[str, str, dict | str]]:
                     if not (tag not in ("table", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body") and any(x in ("td", "th", "table") for x in between)):
                         yield from close_to(depth)
             elif tag == "br":
+                if stack and stack[-1] == "head":
+                    yield from close_to(len(stack) - 1)
                 yield "start", "br", {}
                 yield "end", "br", {}
             continue
@@ -117,6 +125,8 @@ def tree_events(page: str) -> Iterator[tuple[str, str, dict | str]]:
                     break
         if tag in ("html", "body") and tag in stack:
             continue
+        if stack and stack[-1] == "head" and tag not in HEAD:
+            yield from close_to(len(stack) - 1)
         if tag == "body" or (tag in BLOCK and "head" in stack and "template" not in stack):
             if "head" in stack:
                 yield from close_to(stack.index("head"))
@@ -334,6 +344,8 @@ def page_text(page: str) -> str:
     flow, flows = _Flow(), []
     hidden = 0
     path: list[tuple[str, bool]] = []  # tag, whether it hides
+    drawn: list[str] = []  # open svg elements and, in them, elements that show text
+    math = 0
     lists: list[list] = []  # kind, counter
     pre = 0
     tables: list[list[list[tuple[str, int, int]]]] = []
@@ -345,10 +357,16 @@ def page_text(page: str) -> str:
 
     for kind, tag, what in tree_events(page):
         if kind == "text":
-            if not hidden and what:
+            if not hidden and what and (not drawn or drawn[-1] != "svg"):
                 flow.text(what, indent, pre > 0)
         elif kind == "start":
             hides = tag in UNSEEN or "hidden" in what or (tag == "input" and what.get("type", "").lower() == "hidden") or _hidden(tag, what, hiding)
+            hides = hides or (bool(drawn) and tag in SVG_UNSEEN) or (math > 0 and tag in ("annotation", "annotation-xml"))
+            math += tag == "math"
+            if tag == "svg" or drawn and tag in SVG_TEXT:
+                drawn.append(tag)
+                if not hidden and not hides and tag != "svg":
+                    flow.text(" ", indent, False)
             path.append((tag, hides))
             hidden += hides
             if hidden:
@@ -390,6 +408,11 @@ def page_text(page: str) -> str:
                 own, hides = path.pop()
                 seen = not hidden
                 hidden -= hides
+                math -= own == "math"
+                if drawn and own == drawn[-1]:
+                    drawn.pop()
+                    if seen and own != "svg":
+                        flow.text(" ", indent, False)
                 if own == tag:
                     break
             if not seen:

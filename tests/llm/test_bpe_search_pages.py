@@ -133,6 +133,22 @@ def test_hiding_rules_that_hold_on_a_screen(style, shown):
     assert pages.page_text("<style>.x{display:none}</style>a<i class=x style='display:inline'>b</i>") == "ab"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<head><title>T</title>Hello <a>link</a><p>x", "Hello link\n\nx"),
+        ("<html><head><meta charset=utf-8>\n<title>T</title>\n<script>1</script><b>a</b> c<style>p{}</style>d", "a cd"),
+        ("<head><noscript><b>n</b></noscript><template>t</template><img src=i>shown", "shown"),
+        ("<head><title>T</title></head>\n<body><i>x</i>", "x"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds", "x=2 holds"),
+        ("a<svg><title>T</title><desc>D</desc><defs><text>u</text></defs>w<text x=1>one<tspan> 1</tspan></text><text>two</text><path d=''/></svg><b>z</b>", "a one 1 two z"),
+        ("<svg><foreignObject><p>in</p></foreignObject>no</svg>out", "in\n\nout"),
+    ],
+)
+def test_implied_head_end_and_drawn_text(page, want):
+    assert pages.page_text(page) == want
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (2, "v", "<div>" * 5000 + "deep"), (3, "w", "word " * 50000)]
     out = pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(0))).collect()
