@@ -32,6 +32,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in SHARE of all rows, and more than SPLIT, is hot; there can't be more than SHARE of those.
+SHARE, SPLIT = 1000, 1000
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of rows with keys, which holds each long or string ``on`` once.
+
+    Hot keys, SHARE at most, are joined by broadcast where their rows lie, the others by
+    hash: no key's rows gather in one task.  counts (on, n) tells how many rows keys have; without it rows are counted."""
+    from pyspark.sql import functions as F
+
+    counts = rows.groupBy(on).agg(F.count("*").alias("n")) if counts is None else counts
+    sizes = counts.filter(F.col("n") > SPLIT).orderBy(F.desc("n")).limit(SHARE).select(on, "n").collect()
+    if not sizes:
+        return rows.join(keys, on)
+    total = rows.count()
+    hot = F.col(on).isin([r[0] for r in sizes if r.n * SHARE > total])
+    return rows.filter(~hot).join(keys.filter(~hot), on).unionByName(rows.filter(hot).join(F.broadcast(keys.filter(hot)), on))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

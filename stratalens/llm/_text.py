@@ -1,15 +1,17 @@
 """Vectorised text primitives shared by the Arrow-batched operators.
 
-A string column arrives as one byte buffer plus offsets; everything here works
-on that buffer for a whole block of rows at once, so no per-word Python objects
-are made.  Substring hashes come from prefix sums of ``T[byte] * B**i`` modulo
-2**64, which give the hash of any byte range or of any run of words in O(1).
+A string column arrives as one byte buffer plus offsets; most work is done on that
+buffer for a whole block of rows at once.  Where equality matters, words are told
+apart by their bytes (a dictionary) and named by 128 bits of BLAKE2b; runs of words
+are named by combining halves with a mixing that isn't linear, so that no family of
+words or of word sequences collides by structure.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,6 @@ U = np.uint64
 _LIBC = ctypes.CDLL(None)
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
-_BASE2 = U(0xC2B2AE3D27D4EB4F | 1)
-_BASE2_INV = U(pow(int(_BASE2), -1, 1 << 64))
 BLOCK_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
@@ -61,30 +61,98 @@ class _Powers:
         return self.up, self.down
 
 
-_P1, _P2 = _Powers(_BASE, _BASE_INV), _Powers(_BASE2, _BASE2_INV)
+_P1 = _Powers(_BASE, _BASE_INV)
 
 
 def _prefix(values: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of ``values[i] * B**i`` modulo 2**64 and the powers of 1 / B, for
+    hashed features only: some long strings collide under any base."""
     up, down = powers.get(len(values) + 1)
     out = np.zeros(len(values) + 1, U)
     np.cumsum(values * up[: len(values)], dtype=U, out=out[1:])
     return out, down
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
-    """Hash of ``values[s:e]`` for each pair, independent of where it lies."""
-    prefix, down = _prefix(values, _P2 if second else _P1)
-    out = (prefix[ends] - prefix[starts]) * down[starts]
-    return mix(out + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def next_space(data: np.ndarray, lo: int, hi: int) -> int:
+    """The first white-space byte of ``lo:hi``, or hi."""
+    for at in range(lo, hi, 1 << 16):
+        found = np.flatnonzero(IS_SPACE[data[at : min(at + (1 << 16), hi)]])
+        if len(found):
+            return at + int(found[0])
+    return hi
+
+
+class WordNames(dict):
+    """Numbers of distinct words, compared by their bytes, and two 64-bit lanes of each word's digest.
+
+    At most about ``most`` words are remembered between two calls."""
+
+    def __init__(self, salt: bytes = b"", most: int = 200_000, piece: int = 1 << 20):
+        super().__init__()
+        self.salt, self.most, self.piece, self.digests = salt, most, piece, bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.digests += blake2b(word, digest_size=16, person=self.salt).digest()
+        return n
+
+    def _named(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros((0, 2), U)
+        if len(self) > self.most:
+            self.clear()
+            self.digests = bytearray()
+        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return np.frombuffer(self.digests, U).reshape(-1, 2)[ids]
+
+    def lanes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both lanes of each word of the rows, and for each row the index of its first word (one more at the end)."""
+        got, count = [np.zeros((0, 2), U)], np.zeros(len(offsets), np.int64)
+        edge, words, held = offsets.tolist(), [], 0
+        for r, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)):
+            while lo < hi:
+                stop = hi
+                if hi - lo > self.piece:  # a long text in pieces that end at white space
+                    stop = next_space(data, lo + self.piece, hi)
+                own = data[lo:stop].tobytes().split()  # at the six white-space bytes
+                count[r + 1] += len(own)
+                words += own
+                held += stop - lo
+                lo = stop
+                if held >= self.piece:
+                    got.append(self._named(words))
+                    words, held = [], 0
+        got.append(self._named(words))
+        both = np.concatenate(got)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.cumsum(count)
+
+
+def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * U(0x9E3779B97F4A7C15)
+    x += b * U(0xC2B2AE3D27D4EB4F)
+    x ^= x >> U(30)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
-def run_hashes(words: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """Hash of every run of k consecutive word hashes (runs over the whole block)."""
-    if len(words) < k:
-        return np.zeros(0, U)
-    prefix, down = _prefix(words, _P2 if second else _P1)
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of k consecutive word names (runs over the whole block), by doubling."""
     n = len(words) - k + 1
-    return mix((prefix[k : k + n] - prefix[:n]) * down[:n])
+    if n <= 0:
+        return np.zeros(0, U)
+    out, done, size, level = None, 0, 1, words
+    while True:
+        if k & size:
+            part = level[done : done + n]
+            out = _combined(part, part) if out is None else _combined(out, part)
+            done += size
+        if done == k:
+            return out
+        level = _combined(level[: len(level) - size], level[size:])
+        size *= 2
 
 
 class Block:

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import IS_SPACE, U, _P1, _prefix, blocks, byte_table, flat_ranges, give_back, mix
+from ._text import IS_SPACE, U, blocks, flat_ranges, give_back, mix
 
-CHUNK_BYTES = 12 << 20
-_TABLE = byte_table(5)
+#: Text of one chunk, and text for each slice of the hash range.
+CHUNK_BYTES, SLICE_BYTES = 12 << 20, 16 << 20
 _PACKED = "chunk string, bucket int, payload binary"
 #: Words joined for one call, and texts of one call.
 _JOINED, _AT_ONCE = 2000, 8
@@ -70,51 +72,49 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class _Chunk:
-    """Distinct words of up to CHUNK_BYTES of text, most frequent first, and each row's words as numbers."""
+    """Distinct words of up to CHUNK_BYTES of text, most frequent first, and each row's words as numbers.
+
+    Words are told apart by their bytes; a hash only deals them out."""
 
     def __init__(self):
-        self.ids, self.counts, self.hashes, self.starts, self.data, self.bytes = [], [], [], [], [], 0
+        self.ids, self.counts, self.numbers, self.bytes, self.known, self.name = [], [], [], 0, {}, blake2b(digest_size=16)
 
     def add(self, block) -> None:
         data, offsets = block.data, block.offsets
         starts = word_starts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        prefix, down = _prefix(_TABLE[data], _P1)
-        self.hashes.append(mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U)))
+        raw, known = data.tobytes(), self.known
+        begin = starts.tolist()
+        own = (known.setdefault(raw[a:b], len(known)) for a, b in zip(begin, [*begin[1:], len(raw)], strict=True))
+        self.numbers.append(np.fromiter(own, np.uint32, len(begin)))
         self.counts.append(np.diff(np.searchsorted(starts, offsets)))
-        self.starts.append(starts + self.bytes)
-        self.data.append(data.copy())  # a view would keep the whole batch
         ids = block.column("doc_id")
         self.ids.append((ids.fill_null(0).to_numpy().astype(np.int64), np.array(ids.is_null()).astype(np.uint8)))
+        self.name.update(raw + offsets.tobytes())
         self.bytes += len(data)
 
     def rows(self, place: str, buckets: int, words: bool) -> Iterator[tuple[str, int, bytes]]:
         """(chunk, bucket, payload): each bucket's words, or the one row of the documents.
 
-        The chunk is named by its place and its words, so that both readings agree or fail."""
-        h, self.hashes = np.concatenate(self.hashes), []
-        own, first, number, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        name = f"{place}-{int(np.bitwise_xor.reduce(own)) if len(own) else 0:x}-{len(h)}"
-        del h
-        order = np.argsort(-times, kind="stable")
-        bucket = ((own >> U(32)) * U(buckets) >> U(32)).astype(np.int64)[order]
+        The chunk is named by its place and its texts, so that both readings agree or fail."""
+        name = f"{place}-{self.name.hexdigest()}"
+        number, self.numbers = np.concatenate(self.numbers), []
+        order = np.argsort(-np.bincount(number, minlength=len(self.known)), kind="stable")
+        dealt = np.fromiter(map(crc32, self.known), np.uint32, len(self.known)).astype(U)
+        bucket = (mix(dealt) % U(buckets)).astype(np.int64)[order]
         if words:
             del number
-            raw, self.data = np.concatenate(self.data), []
-            starts, self.starts = np.concatenate(self.starts), []
-            length = np.diff(np.append(starts, len(raw)))[first[order]]
-            begin = starts[first[order]]
+            listed = list(self.known)
             by_bucket = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
             for b in range(buckets):
-                x = by_bucket[edge[b] : edge[b + 1]]
-                if len(x):
-                    yield name, b, _pack(raw[flat_ranges(begin[x], length[x])], length[x].astype(np.int32))
+                own = [listed[i] for i in order[by_bucket[edge[b] : edge[b + 1]]].tolist()]
+                if own:
+                    yield name, b, _pack(np.frombuffer(b"".join(own), np.uint8), np.fromiter(map(len, own), np.int32, len(own)))
         else:
-            rank = np.empty(len(own), np.uint32)
-            rank[order] = np.arange(len(own), dtype=np.uint32)
-            planes = rank[number.ravel()].astype("<u4").view(np.uint8).reshape(-1, 4)
-            del number, first
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            planes = rank[number].astype("<u4").view(np.uint8).reshape(-1, 4)
+            del number
             ids, null = (np.concatenate([x[i] for x in self.ids]) for i in (0, 1))
             yield name, -1, _pack(ids, null, np.concatenate(self.counts).astype(np.int32), bucket.astype(np.int32), *(np.ascontiguousarray(planes[:, i]) for i in range(4)))
 
@@ -193,20 +193,14 @@ def _encode(path: str):
     def run(table: pa.Table) -> pa.Table:
         """One slice of the hash range, of all chunks: each distinct word is encoded once."""
         t = _tokenizer(path)
-        lists = []
+        lists, number = [], {}
         for blob in table.column("payload"):
             raw, length = _unpack(blob.as_py())
             whole, edge = raw.tobytes(), np.concatenate([[0], np.cumsum(length)]).tolist()
-            lists.append([whole[a:b] for a, b in zip(edge, edge[1:], strict=False)])
-        number: dict[bytes, int] = {}
-        for own in lists:
-            for w in own:
-                number.setdefault(w, len(number))
+            own = (number.setdefault(whole[a:b], len(number)) for a, b in zip(edge, edge[1:], strict=False))
+            lists.append(np.fromiter(own, np.int64, len(length)))
         flat, begin, size = encode_words(t, _pieces(path)[2], list(number))
-        out = []
-        for own in lists:
-            n = np.array([number[w] for w in own], np.int64)
-            out.append(_pack(flat[flat_ranges(begin[n], size[n])], size[n].astype(np.int32)))
+        out = [_pack(flat[flat_ranges(begin[n], size[n])], size[n].astype(np.int32)) for n in lists]
         del number, flat, lists
         give_back()
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "payload": pa.array(out, pa.binary())})
@@ -276,7 +270,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     The documents are read twice; a table that doesn't come back in the same
     partitions and order (one that isn't read from files) is an error, not a wrong result."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    buckets = max(8, 4 * rows.rdd.getNumPartitions())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-size // SLICE_BYTES))
     lists = rows.mapInArrow(_split(buckets, True), _PACKED)
     coded = lists.groupBy("bucket").applyInArrow(_encode(tokenizer_path), _PACKED)
     numbered = rows.mapInArrow(_split(buckets, False), _PACKED)

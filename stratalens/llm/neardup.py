@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
-from ._text import LOWER, U, Block, as_long, blocks, byte_table, give_back, mix, run_hashes, span_hashes
+from ._store import join_keys, materialize
+from ._text import LOWER, U, Block, WordNames, as_long, blocks, give_back, mix, run_hashes
 from .components import connected_components
 
 M, ROWS, A, BASE, Q = 128, 4, 20.0, 1.001, 32765
@@ -27,28 +27,35 @@ M, ROWS, A, BASE, Q = 128, 4, 20.0, 1.001, 32765
 GROUP, BLOCK, BROADCAST_IDS = 500, 256, 500_000
 _MUL = mix(np.arange(1, M + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1001, M + 1001, dtype=U))
-_TABLE = byte_table(2)
 
 
-def shingle_hashes(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word shingles (A-Z lower-cased) of each row, repeats
-    included, and where each row's begin.  A row of 1 to k-1 words has one."""
-    starts, ends, first = block.words()
-    words = span_hashes(_TABLE[LOWER[block.data]], starts, ends)
-    runs = run_hashes(words, k)
+def shingles(block: Block, k: int, names: WordNames) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct k-word shingles (A-Z lower-cased): two 64-bit lanes, ascending, and
+    where each row's begin.  A row of 1 to k-1 words has one."""
+    *words, first = names.lanes(LOWER[block.data], block.offsets)
     count = np.diff(first)
     n = np.where(count >= k, count - k + 1, np.minimum(count, 1))
     at = np.concatenate([[0], np.cumsum(n)])
-    out = np.empty(at[-1], U)
-    long = np.flatnonzero(count >= k)
-    if len(long):
-        reps = n[long]
-        pos = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        out[pos + np.repeat(at[:-1][long], reps)] = runs[pos + np.repeat(first[:-1][long], reps)]
-    for r in np.flatnonzero((count > 0) & (count < k)):
-        own = words[first[r] : first[r + 1]]
-        out[at[r]] = mix(run_hashes(own, len(own)) ^ U(len(own)))[0]
-    return out, at
+    row = np.repeat(np.arange(block.rows), n)
+    pos = first[row] + np.arange(at[-1]) - at[row]
+    long = count[row] >= k
+    short = np.flatnonzero((count > 0) & (count < k))
+    lanes = []
+    for own in words:
+        out = np.empty(at[-1], U)
+        out[long] = run_hashes(own, k)[pos[long]]
+        for r in short:
+            out[at[r]] = mix(run_hashes(own[first[r] : first[r + 1]], int(count[r])) ^ U(count[r]))[0]
+        lanes.append(out)
+    h1, h2 = lanes
+    for keys in ((h1, row), (h2, h1, row)):  # the second only if a first lane repeats with another second one
+        order = np.lexsort(keys)
+        a, b, r = h1[order], h2[order], row[order]
+        same = (a[1:] == a[:-1]) & (r[1:] == r[:-1])
+        if not (same & (b[1:] != b[:-1])).any():
+            break
+    new = np.append(True, ~same | (b[1:] != b[:-1]))[: len(a)]
+    return a[new], b[new], np.concatenate([[0], np.cumsum(np.bincount(r[new], minlength=block.rows))])
 
 
 def registers(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -104,21 +111,20 @@ def plausible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, th
     return fits & (high >= best - slack), j[np.arange(len(j)), ll.argmax(1)]
 
 
+def _row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)])
+    return total[at[1:]] - total[at[:-1]]
+
+
 def _sketch_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames(b"shingles")
         for block in blocks(batches):
-            hashes, at = shingle_hashes(block, k)
-            n = np.zeros(block.rows, np.int64)
-            h1, h2 = np.zeros(block.rows, U), np.zeros(block.rows, U)
-            parts = []
-            for r in range(block.rows):
-                own = np.unique(hashes[at[r] : at[r + 1]])
-                n[r] = len(own)
-                h1[r], h2[r] = own.sum(dtype=U), mix(own + U(77)).sum(dtype=U)
-                parts.append(own)
-            regs = registers(np.concatenate(parts), np.concatenate([[0], np.cumsum(n)]))
+            own1, own2, at = shingles(block, k, names)
+            regs = registers(own1, at)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(block.rows + 1, dtype=np.int32) * M), pa.array(regs.ravel()))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n), as_long(mix(h1)), as_long(mix(h2)), flat], ["doc_id", "n_shingles", "h1", "h2", "regs"])
+            h1, h2 = _row_sums(own1, at), _row_sums(own2, at)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(at)), as_long(mix(h1)), as_long(mix(h2)), flat], ["doc_id", "n_shingles", "h1", "h2", "regs"])
         give_back()
 
     return run
@@ -133,10 +139,10 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames(b"shingles")
         for block in blocks(batches):
-            hashes, at = shingle_hashes(block, k)
-            parts = [np.unique(hashes[at[r] : at[r + 1]]) for r in range(block.rows)]
-            blobs = [p.tobytes() for p in parts]
+            own1, own2, at = shingles(block, k, names)
+            blobs = [own1[a:b].tobytes() + own2[a:b].tobytes() for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(blobs, pa.binary())], ["node", "items"])
         give_back()
 
@@ -162,10 +168,10 @@ def _filter_batches(threshold: float):
 def _likely_stars(stars: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(g, a, b): pairs of a bucket's smallest node and another that the registers don't rule out; g groups by leader and up to GROUP of its members."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    likely = materialize(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_filter_batches(threshold), "a long, b long").distinct(), "pairs")
-    size = likely.groupBy("a").agg(F.count("*").alias("n"))
+    likely = materialize(join_keys(stars, side("a"), "a").join(side("b"), "b").mapInArrow(_filter_batches(threshold), "a long, b long").distinct(), "pairs")
+    size = materialize(likely.groupBy("a").agg(F.count("*").alias("n")), "sizes")
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP))
-    return likely.join(size, "a").select(F.xxhash64("a", salt).alias("g"), "a", "b")
+    return join_keys(likely, size, "a", size).select(F.xxhash64("a", salt).alias("g"), "a", "b")
 
 
 def _likely_within(threshold: float):
@@ -215,23 +221,35 @@ def _likely_rest(rest: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return rows.groupBy(F.pmod("g", F.lit(lots)).alias("lot")).applyInArrow(_likely_within(threshold), "g long, a long, b long")
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sets, each (2, n): lanes of 128-bit names, ascending by the first."""
+    if x.shape[1] > y.shape[1]:
+        x, y = y, x
+    if not x.shape[1]:
+        return 0
+    where = np.minimum(np.searchsorted(y[0], x[0]), y.shape[1] - 1)
+    met = y[0][where] == x[0]
+    same = int((met & (y[1][where] == x[1])).sum())
+    if same == int(met.sum()) and (x[0][1:] != x[0][:-1]).all():
+        return same
+    return len(set(zip(*x.tolist(), strict=True)) & set(zip(*y.tolist(), strict=True)))
+
+
 def _check(percent: int):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         """The pairs whose full sets are similar enough."""
-        names = sets.column("node").to_numpy()
-        items = [np.frombuffer(x.as_py(), U) for x in sets.column("items")]
+        items = [np.frombuffer(x.as_py(), U).reshape(2, -1) for x in sets.column("items")]
         at: dict[int, list[int]] = {}
-        for i, name in enumerate(names.tolist()):
+        for i, name in enumerate(sets.column("node").to_pylist()):
             at.setdefault(name, []).append(i)
         keep = np.zeros(len(pairs), bool)
         for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
             for p in at[a]:
                 for q in at[b]:
-                    x, y = (items[p], items[q]) if len(items[p]) <= len(items[q]) else (items[q], items[p])
-                    if not keep[i] and len(x) * 100 >= percent * len(y):
-                        where = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        inter = int((y[where] == x).sum())
-                        keep[i] = 100 * inter >= percent * (len(x) + len(y) - inter)
+                    n, m = items[p].shape[1], items[q].shape[1]
+                    if not keep[i] and min(n, m) * 100 >= percent * max(n, m):
+                        inter = common(items[p], items[q])
+                        keep[i] = 100 * inter >= percent * (n + m - inter)
         return pairs.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -276,17 +294,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     bands = F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda b: F.xxhash64(b, F.slice("regs", b * ROWS + 1, ROWS)))
     member = nodes.select("node", F.posexplode(bands).alias("band", "key"))
-    lead = member.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a")
-    shared = materialize(member.join(lead, "key"), "buckets")
-    stars = shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    lead = member.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a <> z")
+    lead = materialize(lead.select("key", "a", "n"), "leaders")
+    shared = materialize(join_keys(member, lead.select("key", "a"), "key", lead), "buckets")
+    stars = materialize(shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
     links = materialize(_verified(_likely_stars(stars, nodes, percent / 100), docs, k, percent), "links")
     comp = materialize(connected_components(links), "components")
 
     placed = shared.join(comp, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    rest = materialize(placed.join(split, "key"), "rest")
+    rest = materialize(placed.join(split, "key", "left_semi"), "rest")
     more = materialize(_verified(_likely_rest(rest, nodes, percent / 100), docs, k, percent), "links")
-    comp = materialize(connected_components(links.unionByName(more)), "components")
+    if not more.isEmpty():
+        # components of components
+        ends = more.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        over = materialize(connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "components")
+        own = over.select(F.col("node").alias("component"), F.col("component").alias("over"))
+        lone = over.join(comp, "node", "left_anti")
+        comp = materialize(comp.join(own, "component", "left").select("node", F.coalesce("over", "component").alias("component")).unionByName(lone), "components")
 
     named = reps.join(comp, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     found = all_rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")

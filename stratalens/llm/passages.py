@@ -5,25 +5,33 @@ whose remainder modulo a period lies in a difference cover.  For any two
 positions there is a shift below the period that brings both into the cover, so
 two equal windows of ``window`` words always share an aligned anchor of
 ``window - period + 1`` words.  Anchors that occur in one document only are
-dropped; around the others the full windows are hashed (96 bits) and compared,
-which extends each anchor without pairing the documents that hold it.
+dropped; around the others the full windows' words are compared by a 128-bit
+digest (BLAKE2b), which extends each anchor without pairing the documents that hold it.
+
+Passages that very many documents share would send all their anchors and windows to
+one task.  A sample of documents names those that look so; their owners are found
+by minima combined within each task, and they take no part in the exchanges.  The
+sample only chooses the way, results are the same whatever it names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialize
-from ._text import as_long, blocks, byte_table, flat_ranges, run_hashes, span_hashes
+from ._store import join_keys, materialize
+from ._text import U, WordNames, as_long, blocks, flat_ranges, give_back, run_hashes
 
 #: Perfect difference sets: every non-zero remainder is the difference of exactly one ordered pair.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (0, 1, 3, 8, 12, 18)}
-_TABLE, _TABLE2 = byte_table(9), byte_table(10)
+#: Documents of the sample that looks for frequent passages, and the share of it (one in so many) that makes one.
+LOOKED_AT, FREQUENT, AT_LEAST = 20_000, 1_000, 16
+NONE = np.zeros(0, U)
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -41,30 +49,117 @@ def _once_a_row(row: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.nda
     return row[at], pos[at], pos[last], h[at]
 
 
-def _anchors(window: int):
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in ``known`` (ascending)."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _row_anchors(lane: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last position and hash of each row's distinct anchors."""
     period, cover = cover_for(window)
     width = window - period + 1
     inside = np.zeros(period, bool)
     inside[list(cover)] = True
+    n = np.diff(first)
+    rows = np.flatnonzero(n >= window)
+    count = n[rows] - width + 1
+    row = np.repeat(rows, count)
+    pos = flat_ranges(np.zeros(len(rows), np.int64), count)
+    take = inside[pos % period]
+    row, pos = row[take], pos[take]
+    hashes = run_hashes(lane, width)
+    return _once_a_row(row, pos, hashes[first[row] + pos] if len(row) else NONE)
+
+
+def _covered(row: np.ndarray, pos: np.ndarray, last: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Word numbers where windows begin that hold one of the anchors at pos to last."""
+    n, period = np.diff(first), cover_for(window)[0]
+    lo = np.maximum(pos - period + 1, 0)
+    hi = np.minimum(last, n[row] - window) + 1
+    good = lo < hi
+    mark = np.zeros(int(first[-1]) + 1, np.int32)
+    np.add.at(mark, first[row[good]] + lo[good], 1)
+    np.add.at(mark, first[row[good]] + hi[good], -1)
+    return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+
+
+def _digests(block, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name the words of the window at each word number."""
+    length = ends - starts + 1
+    edge = np.concatenate([[0], np.cumsum(length)])
+    joined = np.append(block.data, np.uint8(32))[flat_ranges(starts, length)]
+    joined[edge[1:] - 1] = 32
+    raw = memoryview(joined.tobytes())
+    both = b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edge[at].tolist(), (edge[at + window] - 1).tolist(), strict=True))
+    h = np.frombuffer(both, U).reshape(-1, 2)
+    return h[:, 0], h[:, 1]
+
 
+def _ids(block) -> np.ndarray:
+    return block.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _anchors(window: int, frequent: np.ndarray = NONE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames(b"passages")
         for block in blocks(batches):
-            starts, ends, first = block.words()
+            lane, _, first = names.lanes(block.data, block.offsets)
+            row, pos, last, h = _row_anchors(lane, first, window)
+            if not len(row):
+                continue
+            if len(frequent):
+                rare = ~_among(h, frequent)
+                row, pos, last, h = row[rare], pos[rare], last[rare], h[rare]
+            yield pa.RecordBatch.from_arrays([as_long(h), pa.array(_ids(block)[row]), pa.array(pos.astype(np.int32)), pa.array(last.astype(np.int32))], ["h", "doc_id", "pos", "last"])
+        give_back()
+
+    return run
+
+
+def _frequent_windows(window: int, anchors: np.ndarray):
+    """Hash of each row's distinct windows around frequent anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames(b"passages")
+        for block in blocks(batches):
+            lane, _, first = names.lanes(block.data, block.offsets)
+            row, pos, last, h = _row_anchors(lane, first, window)
+            own = _among(h, anchors)
+            at = _covered(row[own], pos[own], last[own], first, window)
+            if len(at):
+                row = np.searchsorted(first, at, "right") - 1
+                _, _, _, h = _once_a_row(row, at, run_hashes(lane, window)[at])
+                yield pa.RecordBatch.from_arrays([as_long(h)], ["h"])
+        give_back()
+
+    return run
+
+
+def _owners(window: int, frequent: np.ndarray):
+    """For windows among the frequent ones the smallest doc_id of a task's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, least = WordNames(b"passages"), {}
+        for block in blocks(batches):
+            lane, _, first = names.lanes(block.data, block.offsets)
             n = np.diff(first)
             rows = np.flatnonzero(n >= window)
-            if not len(rows):
+            at = flat_ranges(first[:-1][rows], n[rows] - window + 1)
+            if not len(at):
                 continue
-            words = span_hashes(_TABLE[block.data], starts, ends)
-            hashes = run_hashes(words, width)
-            count = n[rows] - width + 1
-            row = np.repeat(rows, count)
-            pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            take = inside[pos % period]
-            row, pos = row[take], pos[take]
-            h = hashes[first[row] + pos]
-            row, pos, last, h = _once_a_row(row, pos, h)
-            ids = block.column("doc_id").to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([as_long(h), pa.array(ids.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(last.astype(np.int32))], ["h", "doc_id", "pos", "last"])
+            at = at[_among(run_hashes(lane, window)[at], frequent)]
+            if len(at):
+                starts, ends, _ = block.words()
+                h1, h2 = _digests(block, starts, ends, at, window)
+                doc = _ids(block)[np.searchsorted(first, at, "right") - 1]
+                for x, y, d in zip(h1.tolist(), h2.tolist(), doc.tolist(), strict=True):
+                    least[x, y] = min(least.get((x, y), d), d)
+        if least:
+            h = np.array(list(least), U)
+            yield pa.RecordBatch.from_arrays([as_long(h[:, 0].copy()), as_long(h[:, 1].copy()), pa.array(list(least.values()), pa.int64())], ["h1", "h2", "owner"])
+        give_back()
 
     return run
 
@@ -75,10 +170,13 @@ def _lists(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return col.flatten(), np.repeat(np.arange(len(col)), size), size
 
 
-def _windows(window: int):
-    period, _ = cover_for(window)
+def _windows(window: int, anchors: np.ndarray = NONE, owners: dict[tuple[int, int], int] | None = None):
+    """Windows around shared anchors.  Of those in ``owners`` only the repeats are sent, with their
+    owner and spread by their place."""
+    owners = owners or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames(b"passages")
         for block in blocks(batches):
             starts, ends, first = block.words()
             n = np.diff(first)
@@ -86,17 +184,15 @@ def _windows(window: int):
             pos, last = (span.field(i).to_numpy().astype(np.int64) for i in (0, 1))
             ok = (n[row] >= window) & (pos < n[row])
             pos, last, row = pos[ok], last[ok], row[ok]
-            lo = np.maximum(pos - period + 1, 0)
-            hi = np.minimum(last, n[row] - window) + 1
-            good = lo < hi
-            mark = np.zeros(len(starts) + 1, np.int32)
-            np.add.at(mark, first[row[good]] + lo[good], 1)
-            np.add.at(mark, first[row[good]] + hi[good], -1)
-            at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            if len(anchors):
+                lane, _, _ = names.lanes(block.data, block.offsets)
+                row2, pos2, last2, h = _row_anchors(lane, first, window)
+                own = _among(h, anchors)
+                row, pos, last = (np.concatenate(x) for x in ((row, row2[own]), (pos, pos2[own]), (last, last2[own])))
+            at = _covered(row, pos, last, first, window)
             if not len(at):
                 continue
-            h1 = run_hashes(span_hashes(_TABLE[block.data], starts, ends), window)[at]
-            h2 = run_hashes(span_hashes(_TABLE2[block.data], starts, ends, True), window, True)[at]
+            h1, h2 = _digests(block, starts, ends, at, window)
             # a window that a row repeats is sent once, with all its starts
             row = np.searchsorted(first, at, "right") - 1
             order = np.lexsort((at, h2, h1, row))
@@ -107,13 +203,23 @@ def _windows(window: int):
             size = np.diff(np.append(new, len(at)))
             for i in np.flatnonzero(size > 1):
                 more[i] = start[new[i] + 1 : new[i] + size[i]].tobytes()
-            row = row[new]
-            ids = block.column("doc_id").to_numpy(zero_copy_only=False)[row]
-            tkey = block.column("tkey").to_numpy(zero_copy_only=False)[row]
+            row, h1, h2, start = row[new], h1[new], h2[new], start[new]
+            ids = _ids(block)[row]
+            tkey = block.column("tkey").to_numpy(zero_copy_only=False)[row].astype(np.int32)
+            owner = [None] * len(new)
+            if owners:
+                owner = [owners.get(x) for x in zip(h1.tolist(), h2.tolist(), strict=True)]
+                known = np.array([x is not None for x in owner])
+                keep = ~known | (ids > np.array([0 if x is None else x for x in owner]))
+                # any key spreads these: their place in the table does
+                h1 = np.where(known, ids.astype(U) * U(0x9E3779B97F4A7C15) + start.astype(U), h1)
+                h1, h2, ids, tkey, start, more = (x[keep] for x in (h1, h2, ids, tkey, start, more))
+                owner = [x for x, k in zip(owner, keep.tolist(), strict=True) if k]
             yield pa.RecordBatch.from_arrays(
-                [as_long(h1[new]), pa.array((h2[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids.astype(np.int64)), pa.array(tkey.astype(np.int32)), pa.array(start[new]), pa.array(more, pa.binary())],
-                ["h1", "h2", "doc_id", "tkey", "start", "more"],
+                [as_long(h1.copy()), as_long(h2.copy()), pa.array(ids), pa.array(tkey), pa.array(start), pa.array(more, pa.binary()), pa.array(owner, pa.int64())],
+                ["h1", "h2", "doc_id", "tkey", "start", "more", "known"],
             )
+        give_back()
 
     return run
 
@@ -160,6 +266,26 @@ def _cut(window: int):
     return run
 
 
+def _frequent(known: DataFrame, copies: DataFrame, window: int, n_rows: int) -> tuple[np.ndarray, dict[tuple[int, int], int]]:
+    """Hashes of anchors, and owners of windows, that one in FREQUENT documents of a sample holds.
+
+    Both are bounded by the sample of about LOOKED_AT documents; whole copies of an earlier document are left out."""
+    looked = min(n_rows, LOOKED_AT)
+    least = max(AT_LEAST, looked // FREQUENT)
+    near = (F.xxhash64("doc_id", F.lit(31)).cast("double") / 2.0**64 + 0.5) * n_rows < LOOKED_AT
+    sample = known.select("doc_id", "text").filter(near).join(copies.select("doc_id").filter(near), "doc_id", "left_anti")
+    often = lambda hashes: np.sort(hashes.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("h").toArrow().column("h").to_numpy().view(U))
+    anchors = often(sample.mapInArrow(_anchors(window), "h long, doc_id long, pos int, last int").select("h"))
+    if not len(anchors):
+        return anchors, {}
+    windows = often(sample.mapInArrow(_frequent_windows(window, anchors), "h long"))
+    if not len(windows):
+        return anchors, {}
+    rows = known.select("doc_id", "text").mapInArrow(_owners(window, windows), "h1 long, h2 long, owner long").groupBy("h1", "h2").agg(F.min("owner").alias("owner")).toArrow()
+    h1, h2 = (rows.column(c).to_numpy().view(U).tolist() for c in ("h1", "h2"))
+    return anchors, dict(zip(zip(h1, h2, strict=True), rows.column("owner").to_pylist(), strict=True))
+
+
 def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
@@ -177,21 +303,25 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     docs = docs.withColumn("tkey", F.hash("text"))
     known = docs.filter("doc_id is not null")
     # whole copies are told by one hash a document; they need no windows of their own
-    whole = materialize(known.select("doc_id", "tkey", F.md5(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))).alias("m")), "whole")
+    whole = materialize(known.select("doc_id", "tkey", F.sha2(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), 256).alias("m")), "whole")
+    n_rows = whole.count()
     lowest = whole.groupBy("m").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last").select("m", "owner")
     late = F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False))
-    copies = whole.join(lowest, "m").withColumn("late", late).groupBy("doc_id").agg(F.collect_set(F.when(F.col("late"), F.col("tkey"))).alias("copies"), F.count("*").alias("n"))
-    copies = copies.filter("size(copies) > 0")
+    copies = join_keys(whole, lowest, "m").withColumn("late", late).groupBy("doc_id").agg(F.collect_set(F.when(F.col("late"), F.col("tkey"))).alias("copies"), F.count("*").alias("n"))
+    copies = materialize(copies.filter("size(copies) > 0"), "copies")
     texts = whole.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     only = copies.join(texts, "doc_id").filter("n = n_rows and n = size(copies)").select("doc_id")
-    # each table is dealt once: windows over it need no second reading, and the documents' exchange serves both joins
-    anchors = known.select("doc_id", "text").mapInArrow(_anchors(window), "h long, doc_id long, pos int, last int")
+    frequent, owners = _frequent(known, copies, window, n_rows)
+    # texts are dealt once: their exchange serves anchors, windows and the cut
+    dealt = known.repartition("doc_id")
+    alone = dealt.join(only, "doc_id", "left_anti")
+    anchors = alone.mapInArrow(_anchors(window, frequent), "h long, doc_id long, pos int, last int")
     same = Window.partitionBy("h")
     shared = anchors.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).filter("lo <> hi")
-    places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "last")).alias("pos")).join(only, "doc_id", "left_anti")
-    dealt = known.repartition("doc_id")
-    windows = dealt.join(places, "doc_id").select("doc_id", "text", "tkey", "pos").mapInArrow(_windows(window), "h1 long, h2 int, doc_id long, tkey int, start int, more binary")
-    found = windows.withColumn("owner", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).filter("doc_id > owner")
+    places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "last")).alias("pos"))
+    placed = alone.join(places, "doc_id", "left" if len(frequent) else "inner")
+    windows = placed.select("doc_id", "text", "tkey", "pos").mapInArrow(_windows(window, frequent, owners), "h1 long, h2 long, doc_id long, tkey int, start int, more binary, known long")
+    found = windows.withColumn("owner", F.coalesce("known", F.min("doc_id").over(Window.partitionBy("h1", "h2")))).filter("doc_id > owner")
     gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "start", "more")).alias("gone"))
     marked = dealt.join(gone, "doc_id", "left").join(copies.select("doc_id", "copies"), "doc_id", "left").select("doc_id", "text", "tkey", "gone", "copies")
     nameless = docs.filter("doc_id is null").select("doc_id", "text", "tkey", F.lit(None).cast(marked.schema["gone"].dataType).alias("gone"), F.lit(None).cast("array<int>").alias("copies"))

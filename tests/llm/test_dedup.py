@@ -3,7 +3,7 @@ import itertools
 import brute
 import numpy as np
 import pytest
-from stratalens.llm import components, neardup, passages
+from stratalens.llm import _store, components, neardup, passages
 from stratalens.llm._text import mix
 
 
@@ -54,7 +54,16 @@ def test_registers_merge_and_estimate():
     assert neardup.plausible(ra, ra, np.array([3000]), np.array([3000]), 0.8)[0][0]
 
 
-def test_components(spark):
+def test_common_counts_names_by_both_lanes():
+    x = np.array([[1, 1, 5, 9], [7, 8, 0, 3]], np.uint64)
+    y = np.array([[1, 1, 5, 10], [6, 8, 0, 3]], np.uint64)
+    assert neardup.common(x, y) == 2 and neardup.common(x[:, 2:], y) == 1 and neardup.common(x[:, :0], y) == 0
+
+
+@pytest.mark.parametrize("split", [1000, 3])
+def test_components(spark, monkeypatch, split):
+    """With 3, most nodes count as hubs."""
+    monkeypatch.setattr(_store, "SPLIT", split)
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(300, 340)] + [(1000, x) for x in range(1001, 1060)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -89,7 +98,10 @@ def test_covers_have_every_difference():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def test_random_passages(spark):
+@pytest.mark.parametrize("least", [16, 2])
+def test_random_passages(spark, monkeypatch, least):
+    """With 2, passages count as frequent and take the other way."""
+    monkeypatch.setattr(passages, "AT_LEAST", least)
     rng = np.random.default_rng(9)
     pool = [f"v{i}" for i in range(400)]
     shared = [[pool[i] for i in rng.integers(0, 400, n)] for n in (49, 50, 51, 80, 200)]
