@@ -3,13 +3,17 @@
 A tokenizer feeds a tree builder that supplies implied start and end tags; its
 events, in document order and properly nested, drive a renderer that emits all
 visible text with block spacing, list markers and aligned table cells.  Both work
-without recursion, so nesting depth is no limit.
+without recursion and without looking through the open elements, so time grows
+with the page's length alone.  Limits of layout, none of which loses text: tables nested
+deeper than NESTED and tables of more than WIDEST columns are written without
+alignment; an indent shows DEEPEST levels.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +45,8 @@ IMPLIED_END = {
     **{k: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}) for k in ("thead", "tbody", "tfoot")},
 }
 SCOPE = frozenset("table td th caption html template button object".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
+#: Quotes count after "=" only; what is open at the end of the page ends there.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _SHOWING = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)([^;]*)", re.I)
@@ -49,7 +54,7 @@ _CSS = re.compile(r"\"[^\"]*\"|'[^']*'|[{};]")
 _LIMIT = re.compile(r"\(\s*(min|max)-(?:device-)?(width|height)\s*:\s*(\d*\.?\d+)\s*(px|r?em|)\s*\)")
 #: The screen that pages are shown on, in pixels; a font's em is 16 of them.
 SCREEN = {"width": 1280, "height": 800}
-CELL_PAD = 40
+CELL_PAD, WIDEST, NESTED, DEEPEST = 40, 256, 8, 40
 
 
 def _attrs(text: str) -> dict[str, str]:
@@ -59,29 +64,74 @@ def _attrs(text: str) -> dict[str, str]:
     return out
 
 
+_CELL, _ROWS = frozenset({"td", "th"}), frozenset({"table", "thead", "tbody", "tfoot"})
+_OF_TABLE = _CELL | _ROWS | {"tr"}
+
+
+class _Open:
+    """The open elements, with the depths of each tag's and of those that bound a paragraph."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.where: dict[str, list[int]] = {}
+        self.bounds: list[int] = []  # depths of SCOPE and BLOCK elements but p
+
+    def push(self, tag: str) -> None:
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag != "p" and (tag in SCOPE or tag in BLOCK):
+            self.bounds.append(len(self.stack))
+        self.stack.append(tag)
+
+    def pop(self) -> str:
+        tag = self.stack.pop()
+        self.where[tag].pop()
+        if self.bounds and self.bounds[-1] == len(self.stack):
+            self.bounds.pop()
+        return tag
+
+    def top(self, *tags: str) -> int:
+        """Depth of the innermost open one of tags, or -1."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def outermost(self, tags: frozenset[str] | set[str], above: int) -> int | None:
+        """Depth of the outermost open one of tags that is deeper than ``above``."""
+        found = []
+        for t in tags:
+            own = self.where.get(t, ())
+            i = bisect(own, above)
+            if i < len(own):
+                found.append(own[i])
+        return min(found, default=None)
+
+    def last(self) -> str:
+        return self.stack[-1] if self.stack else ""
+
+
 def tree_events(page: str) -> Iterator[tuple[str, str, dict | str]]:
     """("start", tag, attributes), ("text", "", text), ("end", tag, {}) of the page's
     tree: every start has its end, in nesting order."""
-    stack: list[str] = []
+    now = _Open()
     at = 0
 
     def close_to(depth: int):
-        while len(stack) > depth:
-            yield "end", stack.pop(), {}
+        while len(now.stack) > depth:
+            yield "end", now.pop(), {}
+
+    def start(tag: str):
+        now.push(tag)
+        yield "start", tag, {}
 
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            if stack and stack[-1] == "head" and text.strip(" \t\n\r\f"):
-                yield from close_to(len(stack) - 1)
-            if stack and stack[-1] in ("table", "tr", "tbody", "thead", "tfoot") and text.strip():
+            if now.last() == "head" and text.strip(" \t\n\r\f"):
+                yield from close_to(len(now.stack) - 1)
+            if (now.last() in _ROWS or now.last() == "tr") and text.strip():
                 # stray text in a table belongs to a cell of its own
-                if stack[-1] != "tr":
-                    stack.append("tr")
-                    yield "start", "tr", {}
-                stack.append("td")
-                yield "start", "td", {}
+                if now.last() != "tr":
+                    yield from start("tr")
+                yield from start("td")
             yield "text", "", html.unescape(text)
         if not m:
             break
@@ -90,46 +140,34 @@ def tree_events(page: str) -> Iterator[tuple[str, str, dict | str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in stack:
-                depth = len(stack) - 1 - stack[::-1].index(tag)
-                between = stack[depth + 1 :]
-                if tag in BLOCK or tag in ("td", "th", "table") or not any(x in SCOPE or x in BLOCK for x in between):
-                    if not (tag not in ("table", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body") and any(x in ("td", "th", "table") for x in between)):
-                        yield from close_to(depth)
+            depth = now.top(tag)
+            if depth >= 0:
+                inner = max(now.bounds[-1] if now.bounds else -1, now.top("p"))
+                free = tag in BLOCK or tag in _OF_TABLE or inner <= depth
+                if free and (tag in _OF_TABLE or tag in ("html", "body") or now.top("td", "th", "table") <= depth):
+                    yield from close_to(depth)
             elif tag == "br":
-                if stack and stack[-1] == "head":
-                    yield from close_to(len(stack) - 1)
+                if now.last() == "head":
+                    yield from close_to(len(now.stack) - 1)
                 yield "start", "br", {}
                 yield "end", "br", {}
             continue
         attrs = _attrs(m[3])
         if tag in IMPLIED_END:
             closes, stops = IMPLIED_END[tag]
-            depth = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] in closes:
-                    depth = i
-                if stack[i] in stops and not (stack[i] in closes):
-                    break
+            depth = now.outermost(closes, now.top(*(stops - closes)))
             if depth is not None:
                 yield from close_to(depth)
-            if tag in ("td", "th") and stack and stack[-1] in ("table", "tbody", "thead", "tfoot"):
-                stack.append("tr")
-                yield "start", "tr", {}
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] == "p":
-                    yield from close_to(i)
-                    break
-                if stack[i] in SCOPE or stack[i] in BLOCK:
-                    break
-        if tag in ("html", "body") and tag in stack:
+            if tag in _CELL and now.last() in _ROWS:
+                yield from start("tr")
+        if tag in ENDS_P and now.top("p") > (now.bounds[-1] if now.bounds else -1):
+            yield from close_to(now.top("p"))
+        if tag in ("html", "body") and now.where.get(tag):
             continue
-        if stack and stack[-1] == "head" and tag not in HEAD:
-            yield from close_to(len(stack) - 1)
-        if tag == "body" or (tag in BLOCK and "head" in stack and "template" not in stack):
-            if "head" in stack:
-                yield from close_to(stack.index("head"))
+        if now.last() == "head" and tag not in HEAD:
+            yield from close_to(len(now.stack) - 1)
+        if now.where.get("head") and (tag == "body" or (tag in BLOCK and not now.where.get("template"))):
+            yield from close_to(now.where["head"][0])
         yield "start", tag, attrs
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
             yield "end", tag, {}
@@ -144,7 +182,7 @@ def tree_events(page: str) -> Iterator[tuple[str, str, dict | str]]:
             at = gt + 1 if gt >= 0 else len(page)
             yield "end", tag, {}
             continue
-        stack.append(tag)
+        now.push(tag)
     yield from close_to(0)
 
 
@@ -207,10 +245,16 @@ def _verdicts(declarations: str) -> dict[str, tuple[bool, bool]]:
     return out
 
 
-def hidden_selectors(page: str) -> dict[str, dict[str, tuple]]:
-    """For simple selectors (tag, .class, #id) of the page's style sheets, if any of them
-    hides: the (important, specificity, order, hides) of display and visibility that win."""
-    out: dict[str, dict[str, tuple]] = {}
+_COMPOUND = re.compile(r"([\w-]+|\*)?((?:[.#][\w-]+)*)")
+
+
+def style_index(page: str) -> dict[str, list[tuple[frozenset[str], dict[str, tuple]]]]:
+    """The rules of the page's style sheets on display and visibility, if any of them hides:
+    by one part of the selector, (all parts, the (important, specificity, order, hides) that win).
+
+    Selectors are a tag, classes and ids, alone or joined (div.k#x); a rule with
+    combinators, pseudo-classes or attributes is left out: its text stays."""
+    won: dict[frozenset[str], dict[str, tuple]] = {}
     order = 0
     for attrs, sheet in re.findall(r"<style([^>]*)>(.*?)(?:</style|\Z)", page, re.S | re.I):
         if not on_screen(_attrs(attrs).get("media", "")):
@@ -219,24 +263,42 @@ def hidden_selectors(page: str) -> dict[str, dict[str, tuple]]:
             order += 1
             for prop, (important, hides) in _verdicts(body).items():
                 for name in selectors.split(","):
-                    if re.fullmatch(r"\s*[.#]?[\w-]+\s*", name):
-                        name = name.strip().lower()
-                        own = important, {".": 1, "#": 2}.get(name[0], 0), order, hides
-                        was = out.setdefault(name, {})
-                        was[prop] = max(was.get(prop, own), own)
-    return out if any(x[3] for rule in out.values() for x in rule.values()) else {}
-
-
-def _hidden(tag: str, attrs: dict[str, str], rules: dict[str, dict[str, tuple]]) -> bool:
-    """Whether styles hide an element."""
+                    m = _COMPOUND.fullmatch(name.strip().lower())
+                    if not m or not m[0]:
+                        continue
+                    parts = frozenset([*re.findall(r"[.#][\w-]+", m[2]), *([m[1]] if m[1] and (m[1] != "*" or not m[2]) else [])])
+                    rank = m[2].count("#"), m[2].count("."), int(bool(m[1]) and m[1] != "*")
+                    own = important, rank, order, hides
+                    was = won.setdefault(parts, {})
+                    was[prop] = max(was.get(prop, own), own)
+    if not any(x[3] for rule in won.values() for x in rule.values()):
+        return {}
+    used: dict[str, int] = {}
+    for parts in won:
+        for x in parts:
+            used[x] = used.get(x, 0) + 1
+    index: dict[str, list] = {}
+    for parts, rule in won.items():
+        index.setdefault(min(parts, key=lambda x: (used[x], x)), []).append((parts, rule))
+    return index
+
+
+def _shown(tag: str, attrs: dict[str, str], rules: dict[str, list]) -> tuple[bool | None, bool | None]:
+    """What styles say of an element: whether display and visibility hide it; None where they say nothing."""
     won: dict[str, tuple] = {}
-    for name in (tag, f"#{attrs.get('id', '').lower()}", *(f".{c.lower()}" for c in attrs.get("class", "").split())) if rules else ():
-        for prop, own in rules.get(name, {}).items():
-            won[prop] = max(won.get(prop, own), own)
-    for prop, (important, hides) in _verdicts(attrs.get("style", "")).items() if "style" in attrs else ():
-        own = important, 3, 0, hides
+    if rules:
+        names = {"*", tag, *(f".{c.lower()}" for c in attrs.get("class", "").split())}
+        if attrs.get("id"):
+            names.add(f"#{attrs['id'].lower()}")
+        for name in names:
+            for parts, rule in rules.get(name, ()):
+                if parts <= names:
+                    for prop, own in rule.items():
+                        won[prop] = max(won.get(prop, own), own)
+    for prop, (important, hides) in _verdicts(attrs["style"]).items() if "style" in attrs else ():
+        own = important, (1 << 30, 0, 0), 0, hides
         won[prop] = max(won.get(prop, own), own)
-    return any(x[3] for x in won.values())
+    return tuple(won[p][3] if p in won else None for p in ("display", "visibility"))
 
 
 class _Flow:
@@ -307,136 +369,155 @@ class _Flow:
 
 
 def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Cells (text, colspan, rowspan) as lines with aligned columns."""
-    grid: list[dict[int, list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    """Cells (text, colspan, rowspan) as lines with aligned columns.  Columns in which no cell begins aren't shown."""
+    placed: list[list[tuple[int, list[str]]]] = []
+    busy: list[tuple[int, int, int]] = []  # columns begin:end taken until a row
     for y, row in enumerate(rows):
-        x, own = 0, {}
+        busy = [b for b in busy if b[2] > y]
+        x, i, own, added = 0, 0, [], []
         for text, cols, down in row:
-            while (y, x) in taken:
-                x += 1
-            own[x] = text.split("\n") if text else [""]
-            for dy in range(down):
-                for dx in range(cols):
-                    taken[y + dy, x + dx] = True
+            while i < len(busy) and busy[i][0] <= x:
+                x = max(x, busy[i][1])
+                i += 1
+            own.append((x, text.split("\n") if text else [""]))
+            if down > 1:
+                if added and added[-1][1:] == (x, y + down):
+                    added[-1] = (added[-1][0], x + cols, y + down)
+                else:
+                    added.append((x, x + cols, y + down))
             x += cols
-        grid.append(own)
+        placed.append(own)
+        if added:
+            busy = sorted(busy + added)
+    number = {x: i for i, x in enumerate(sorted({x for own in placed for x, _ in own}))}
+    aligned = len(number) <= WIDEST
     width: dict[int, int] = {}
-    for own in grid:
-        for x, ls in own.items():
-            width[x] = max(width.get(x, 0), *map(len, ls))
+    for own in placed if aligned else ():
+        for x, ls in own:
+            width[number[x]] = max(width.get(number[x], 0), *map(len, ls))
     out = []
-    for own in grid:
-        if not any(any(ls) for ls in own.values()):
+    for own in placed:
+        if not any(any(ls) for _, ls in own):
             continue
-        columns = range(max(own) + 1)
-        for i in range(max(map(len, own.values()))):
-            cells = [own.get(x, [""])[i] if i < len(own.get(x, [""])) else "" for x in columns]
-            while len(cells) > 1 and not cells[-1]:
-                cells.pop()
-            out.append(" | ".join(c.ljust(min(width.get(x, 0), CELL_PAD)) for x, c in enumerate(cells)).rstrip())
+        cells = {number[x] if aligned else i: ls for i, (x, ls) in enumerate(own)}
+        columns = range(max(cells) + 1)
+        for i in range(max(map(len, cells.values()))):
+            line = [cells[x][i] if x in cells and i < len(cells[x]) else "" for x in columns]
+            while len(line) > 1 and not line[-1]:
+                line.pop()
+            out.append(" | ".join(c.ljust(min(width.get(x, 0), CELL_PAD)) for x, c in enumerate(line)).rstrip())
     return out
 
 
 def page_text(page: str) -> str:
     """All visible text of a page in its layout."""
-    hiding = hidden_selectors(page)
+    rules = style_index(page)
     flow, flows = _Flow(), []
-    hidden = 0
-    path: list[tuple[str, bool]] = []  # tag, whether it hides
+    hidden, unseen = 0, False  # open elements that aren't displayed; inherited visibility
+    path: list[tuple[str, bool, bool]] = []  # tag, whether it isn't displayed, visibility around it
     drawn: list[str] = []  # open svg elements and, in them, elements that show text
     math = 0
     lists: list[list] = []  # kind, counter
-    pre = 0
+    margin: list[str] = []  # indents of open lists, quotes and definitions
+    pre = flat = 0
     tables: list[list[list[tuple[str, int, int]]]] = []
     spans: list[tuple[int, int]] = []
-    indent = ""
 
     def number(x: str, most: int) -> int:
-        return min(max(int(x), 1), most) if x.isdigit() else 1
+        return min(max(int(x), 1), most) if re.fullmatch(r"[0-9]{1,9}", x) else 1
+
+    def indent(upto: int | None = None) -> str:
+        return "".join(margin[: DEEPEST if upto is None else min(upto, DEEPEST)])
 
     for kind, tag, what in tree_events(page):
         if kind == "text":
-            if not hidden and what and (not drawn or drawn[-1] != "svg"):
-                flow.text(what, indent, pre > 0)
+            if not hidden and not unseen and what and (not drawn or drawn[-1] != "svg"):
+                flow.text(what, indent(), pre > 0)
         elif kind == "start":
-            hides = tag in UNSEEN or "hidden" in what or (tag == "input" and what.get("type", "").lower() == "hidden") or _hidden(tag, what, hiding)
-            hides = hides or (bool(drawn) and tag in SVG_UNSEEN) or (math > 0 and tag in ("annotation", "annotation-xml"))
+            gone, invisible = _shown(tag, what, rules)
+            gone = tag in UNSEEN or (tag == "input" and what.get("type", "").lower() == "hidden") or ("hidden" in what if gone is None else gone)
+            gone = gone or (bool(drawn) and tag in SVG_UNSEEN) or (math > 0 and tag in ("annotation", "annotation-xml"))
             math += tag == "math"
             if tag == "svg" or drawn and tag in SVG_TEXT:
                 drawn.append(tag)
-                if not hidden and not hides and tag != "svg":
-                    flow.text(" ", indent, False)
-            path.append((tag, hides))
-            hidden += hides
+                if not hidden and not gone and tag != "svg":
+                    flow.text(" ", indent(), False)
+            path.append((tag, gone, unseen))
+            hidden += gone
+            unseen = unseen if invisible is None else invisible
             if hidden:
                 continue
             if tag == "br":
-                flow.hard_break(indent)
+                flow.hard_break(indent())
+            elif tag == "table" and (flat or len(tables) >= NESTED):
+                flat += 1
+                flow.break_line(True)
+            elif flat and tag in _CELL:
+                flow.text(" ", indent(), False)
             elif tag == "table":
                 flow.break_line(True)
                 tables.append([])
-            elif tag == "tr" and tables:
+            elif tag == "tr" and tables and not flat:
                 tables[-1].append([])
-            elif tag in ("td", "th") and tables:
+            elif tag in _CELL and tables:
                 if not tables[-1]:
                     tables[-1].append([])
-                spans.append((number(what.get("colspan", ""), 1000), number(what.get("rowspan", ""), 1000)))
-                flows.append((flow, lists, indent))
-                flow, lists, indent = _Flow(), [], ""
+                spans.append((number(what.get("colspan", ""), 1000), number(what.get("rowspan", ""), 65534)))
+                flows.append((flow, lists, margin))
+                flow, lists, margin = _Flow(), [], []
             elif tag in BLOCK:
                 flow.break_line(tag in MARGIN and not (tag in ("ul", "ol") and lists))
                 if tag in ("ul", "ol", "menu", "dir"):
-                    start = what.get("start", "")
-                    lists.append(["ol" if tag == "ol" else "ul", int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0])
-                    indent = "  " * len(lists)
+                    first = what.get("start", "")
+                    lists.append(["ol" if tag == "ol" else "ul", int(first) - 1 if re.fullmatch(r"-?[0-9]{1,9}", first) else 0])
+                    margin.append("  ")
                 elif tag == "li":
                     if lists:
                         lists[-1][1] += 1
                     mark = f"{lists[-1][1]}. " if lists and lists[-1][0] == "ol" else "- "
-                    flow.marker = "  " * (max(len(lists), 1) - 1) + mark
-                elif tag == "blockquote":
-                    indent += "> "
-                elif tag == "dd":
-                    indent += "  "
+                    flow.marker = indent(max(len(margin) - 1, 0)) + mark
+                elif tag in ("blockquote", "dd"):
+                    margin.append("> " if tag == "blockquote" else "  ")
                 elif tag == "pre":
                     pre += 1
-            elif tag == "input" and what.get("value") and what.get("type", "text").lower() in ("text", "submit", "button", "search", "reset"):
-                flow.text(what["value"], indent, False)
+            elif tag == "input" and not unseen and what.get("value") and what.get("type", "text").lower() in ("text", "submit", "button", "search", "reset"):
+                flow.text(what["value"], indent(), False)
         else:
             while path:
-                own, hides = path.pop()
+                own, gone, unseen = path.pop()
                 seen = not hidden
-                hidden -= hides
+                hidden -= gone
                 math -= own == "math"
                 if drawn and own == drawn[-1]:
                     drawn.pop()
                     if seen and own != "svg":
-                        flow.text(" ", indent, False)
+                        flow.text(" ", indent(), False)
                 if own == tag:
                     break
             if not seen:
                 continue
-            if tag in ("td", "th") and tables and flows:
+            if flat and tag in _OF_TABLE:
+                if tag in ("table", "tr"):
+                    flat -= tag == "table"
+                    flow.break_line(tag == "table")
+            elif tag in _CELL and tables and flows:
                 text = flow.finish()
-                flow, lists, indent = flows.pop()
+                flow, lists, margin = flows.pop()
                 tables[-1][-1].append((text, *spans.pop()))
             elif tag == "table" and tables:
                 for line in _table(tables.pop()):
-                    flow.text(line, indent, True)
+                    flow.text(line, indent(), True)
                     flow.break_line(False)
                 flow.break_line(True)
             elif tag in BLOCK and tag != "tr":
                 flow.break_line(tag in MARGIN and not (tag in ("ul", "ol") and len(lists) > 1))
                 if tag in ("ul", "ol", "menu", "dir") and lists:
                     lists.pop()
-                    indent = "  " * len(lists)
+                    margin.pop()
                 elif tag == "li":
                     flow.marker = ""
-                elif tag == "blockquote":
-                    indent = indent[: -len("> ")] if indent.endswith("> ") else indent
-                elif tag == "dd":
-                    indent = indent[:-2] if indent.endswith("  ") else indent
+                elif tag in ("blockquote", "dd"):
+                    margin.pop()
                 elif tag == "pre":
                     pre = max(pre - 1, 0)
     return flow.finish()
@@ -450,11 +531,17 @@ def extract_text(pages: DataFrame) -> DataFrame:
     unclosed tags and unclosed comments are handled as a browser shows them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                text = [page_text(x or "") for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
+            lo, texts, size = 0, [], 0
+            for i, page in enumerate(b.column(2)):
+                texts.append(page_text(page.as_py() or ""))
+                size += len(texts[-1])
+                if size > 4 << 20 or i == b.num_rows - 1:
+                    yield out(b.slice(lo, len(texts)), texts)
+                    lo, texts, size = i + 1, [], 0
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string")
