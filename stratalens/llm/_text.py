@@ -1,17 +1,16 @@
 """Vectorised text primitives shared by the Arrow-batched operators.
 
 A string column arrives as one byte buffer plus offsets; most work is done on that
-buffer for a whole block of rows at once.  Where equality matters, words are told
-apart by their bytes (a dictionary) and named by 128 bits of BLAKE2b; runs of words
-are named by combining halves with a mixing that isn't linear, so that no family of
-words or of word sequences collides by structure.
+buffer for a whole block of rows at once.  Words are named by 128 bits: eight bytes
+at a time go through a mixing that isn't linear (a word of up to eight bytes is its
+own name), and runs of words are named by combining halves in the same way, so that
+no family of words or of word sequences collides by structure.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -73,58 +72,26 @@ def _prefix(values: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray
     return out, down
 
 
-def next_space(data: np.ndarray, lo: int, hi: int) -> int:
-    """The first white-space byte of ``lo:hi``, or hi."""
-    for at in range(lo, hi, 1 << 16):
-        found = np.flatnonzero(IS_SPACE[data[at : min(at + (1 << 16), hi)]])
-        if len(found):
-            return at + int(found[0])
-    return hi
-
-
-class WordNames(dict):
-    """Numbers of distinct words, compared by their bytes, and two 64-bit lanes of each word's digest.
-
-    At most about ``most`` words are remembered between two calls."""
-
-    def __init__(self, salt: bytes = b"", most: int = 200_000, piece: int = 1 << 20):
-        super().__init__()
-        self.salt, self.most, self.piece, self.digests = salt, most, piece, bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.digests += blake2b(word, digest_size=16, person=self.salt).digest()
-        return n
-
-    def _named(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros((0, 2), U)
-        if len(self) > self.most:
-            self.clear()
-            self.digests = bytearray()
-        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return np.frombuffer(self.digests, U).reshape(-1, 2)[ids]
-
-    def lanes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both lanes of each word of the rows, and for each row the index of its first word (one more at the end)."""
-        got, count = [np.zeros((0, 2), U)], np.zeros(len(offsets), np.int64)
-        edge, words, held = offsets.tolist(), [], 0
-        for r, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)):
-            while lo < hi:
-                stop = hi
-                if hi - lo > self.piece:  # a long text in pieces that end at white space
-                    stop = next_space(data, lo + self.piece, hi)
-                own = data[lo:stop].tobytes().split()  # at the six white-space bytes
-                count[r + 1] += len(own)
-                words += own
-                held += stop - lo
-                lo = stop
-                if held >= self.piece:
-                    got.append(self._named(words))
-                    words, held = [], 0
-        got.append(self._named(words))
-        both = np.concatenate(got)
-        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.cumsum(count)
+_LANES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)), (U(0xC2B2AE3D27D4EB4F), U(0xA0761D6478BD642F))
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit lanes that name each word ``data[s:e]``; either is one-to-one on words of up to eight bytes of one length."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view("<u8"), (len(data) + 1,), (1,), writeable=False)
+    length = ends - starts
+    lanes = [mix(length.astype(U) * c) for _, c in _LANES]
+    some, at, left = slice(None), starts, length
+    while len(at):
+        chunk = eight[at]
+        short = left < 8
+        chunk[short] &= (U(1) << (U(8) * left[short].astype(U))) - U(1)
+        for lane, (c, _) in zip(lanes, _LANES, strict=True):
+            lane[some] = mix((lane[some] ^ chunk) * c)
+        more = np.flatnonzero(left > 8)
+        some = more if isinstance(some, slice) else some[more]
+        at, left = at[more] + 8, left[more] - 8
+    return lanes
 
 
 def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import join_keys, materialize
-from ._text import LOWER, U, Block, WordNames, as_long, blocks, give_back, mix, run_hashes
+from ._text import LOWER, U, Block, as_long, blocks, give_back, mix, run_hashes, word_names
 from .components import connected_components
 
 M, ROWS, A, BASE, Q = 128, 4, 20.0, 1.001, 32765
@@ -29,10 +29,11 @@ _MUL = mix(np.arange(1, M + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1001, M + 1001, dtype=U))
 
 
-def shingles(block: Block, k: int, names: WordNames) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row's distinct k-word shingles (A-Z lower-cased): two 64-bit lanes, ascending, and
     where each row's begin.  A row of 1 to k-1 words has one."""
-    *words, first = names.lanes(LOWER[block.data], block.offsets)
+    starts, ends, first = block.words()
+    words = word_names(LOWER[block.data], starts, ends)
     count = np.diff(first)
     n = np.where(count >= k, count - k + 1, np.minimum(count, 1))
     at = np.concatenate([[0], np.cumsum(n)])
@@ -118,9 +119,8 @@ def _row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _sketch_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames(b"shingles")
         for block in blocks(batches):
-            own1, own2, at = shingles(block, k, names)
+            own1, own2, at = shingles(block, k)
             regs = registers(own1, at)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(block.rows + 1, dtype=np.int32) * M), pa.array(regs.ravel()))
             h1, h2 = _row_sums(own1, at), _row_sums(own2, at)
@@ -139,9 +139,8 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames(b"shingles")
         for block in blocks(batches):
-            own1, own2, at = shingles(block, k, names)
+            own1, own2, at = shingles(block, k)
             blobs = [own1[a:b].tobytes() + own2[a:b].tobytes() for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(blobs, pa.binary())], ["node", "items"])
         give_back()

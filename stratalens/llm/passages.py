@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import join_keys, materialize
-from ._text import U, WordNames, as_long, blocks, flat_ranges, give_back, run_hashes
+from ._text import U, as_long, blocks, flat_ranges, give_back, run_hashes, word_names
 
 #: Perfect difference sets: every non-zero remainder is the difference of exactly one ordered pair.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (0, 1, 3, 8, 12, 18)}
@@ -103,9 +103,9 @@ def _ids(block) -> np.ndarray:
 
 def _anchors(window: int, frequent: np.ndarray = NONE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames(b"passages")
         for block in blocks(batches):
-            lane, _, first = names.lanes(block.data, block.offsets)
+            starts, ends, first = block.words()
+            lane = word_names(block.data, starts, ends)[0]
             row, pos, last, h = _row_anchors(lane, first, window)
             if not len(row):
                 continue
@@ -122,9 +122,9 @@ def _frequent_windows(window: int, anchors: np.ndarray):
     """Hash of each row's distinct windows around frequent anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames(b"passages")
         for block in blocks(batches):
-            lane, _, first = names.lanes(block.data, block.offsets)
+            starts, ends, first = block.words()
+            lane = word_names(block.data, starts, ends)[0]
             row, pos, last, h = _row_anchors(lane, first, window)
             own = _among(h, anchors)
             at = _covered(row[own], pos[own], last[own], first, window)
@@ -141,9 +141,10 @@ def _owners(window: int, frequent: np.ndarray):
     """For windows among the frequent ones the smallest doc_id of a task's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, least = WordNames(b"passages"), {}
+        least = {}
         for block in blocks(batches):
-            lane, _, first = names.lanes(block.data, block.offsets)
+            starts, ends, first = block.words()
+            lane = word_names(block.data, starts, ends)[0]
             n = np.diff(first)
             rows = np.flatnonzero(n >= window)
             at = flat_ranges(first[:-1][rows], n[rows] - window + 1)
@@ -151,7 +152,6 @@ def _owners(window: int, frequent: np.ndarray):
                 continue
             at = at[_among(run_hashes(lane, window)[at], frequent)]
             if len(at):
-                starts, ends, _ = block.words()
                 h1, h2 = _digests(block, starts, ends, at, window)
                 doc = _ids(block)[np.searchsorted(first, at, "right") - 1]
                 for x, y, d in zip(h1.tolist(), h2.tolist(), doc.tolist(), strict=True):
@@ -176,7 +176,6 @@ def _windows(window: int, anchors: np.ndarray = NONE, owners: dict[tuple[int, in
     owners = owners or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames(b"passages")
         for block in blocks(batches):
             starts, ends, first = block.words()
             n = np.diff(first)
@@ -185,7 +184,7 @@ def _windows(window: int, anchors: np.ndarray = NONE, owners: dict[tuple[int, in
             ok = (n[row] >= window) & (pos < n[row])
             pos, last, row = pos[ok], last[ok], row[ok]
             if len(anchors):
-                lane, _, _ = names.lanes(block.data, block.offsets)
+                lane = word_names(block.data, starts, ends)[0]
                 row2, pos2, last2, h = _row_anchors(lane, first, window)
                 own = _among(h, anchors)
                 row, pos, last = (np.concatenate(x) for x in ((row, row2[own]), (pos, pos2[own]), (last, last2[own])))
@@ -312,9 +311,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     texts = whole.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     only = copies.join(texts, "doc_id").filter("n = n_rows and n = size(copies)").select("doc_id")
     frequent, owners = _frequent(known, copies, window, n_rows)
-    # texts are dealt once: their exchange serves anchors, windows and the cut
-    dealt = known.repartition("doc_id")
-    alone = dealt.join(only, "doc_id", "left_anti")
+    # the same columns of known meet three joins on doc_id, so that one exchange of the texts serves anchors, windows and the cut
+    alone = known.join(only, "doc_id", "left_anti")
     anchors = alone.mapInArrow(_anchors(window, frequent), "h long, doc_id long, pos int, last int")
     same = Window.partitionBy("h")
     shared = anchors.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).filter("lo <> hi")
@@ -323,6 +321,6 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     windows = placed.select("doc_id", "text", "tkey", "pos").mapInArrow(_windows(window, frequent, owners), "h1 long, h2 long, doc_id long, tkey int, start int, more binary, known long")
     found = windows.withColumn("owner", F.coalesce("known", F.min("doc_id").over(Window.partitionBy("h1", "h2")))).filter("doc_id > owner")
     gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "start", "more")).alias("gone"))
-    marked = dealt.join(gone, "doc_id", "left").join(copies.select("doc_id", "copies"), "doc_id", "left").select("doc_id", "text", "tkey", "gone", "copies")
+    marked = known.join(gone, "doc_id", "left").join(copies.select("doc_id", "copies"), "doc_id", "left").select("doc_id", "text", "tkey", "gone", "copies")
     nameless = docs.filter("doc_id is null").select("doc_id", "text", "tkey", F.lit(None).cast(marked.schema["gone"].dataType).alias("gone"), F.lit(None).cast("array<int>").alias("copies"))
     return marked.unionByName(nameless).mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -1,10 +1,12 @@
 """Quality rules: base counts, and distribution divergence from language references.
 
 Each document has two histograms: classes of characters, and common words (with
-one cell for all other words).  References are the same histograms summed over
-all documents of a language.  The Jensen-Shannon distance (base 2, 0 to 1) to the
+one cell for all other words).  References are the same histograms over all
+documents of a language.  The Jensen-Shannon distance (base 2, 0 to 1) to the
 closest reference decides, with guards: below a minimum length a histogram says
-nothing and its test passes.  DataFrame functions only.
+nothing and its test passes.  Languages with a list of common words have both
+references; any other has one of character classes, for its own documents.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import join_keys, materialize
 
-#: Common words by language; a language that isn't listed has no reference.
+#: Common words by language; a language that isn't listed has no reference of words.
 COMMON_WORDS = {
     "en": "the of and to in a is that it for on was be with as by this are at from or an have not which but they his her you were had we all one their there if can".split(),
     "fr": "le de la et les des en un une du est que qui dans pour par sur pas au ce avec il se ne son sont plus ou mais nous cette elle ont été aux leur".split(),
@@ -40,7 +42,9 @@ def _features(docs: DataFrame) -> DataFrame:
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("n_dup_lines", F.size("lines") - F.size(F.array_distinct("lines"))).drop("lines")
     # windows of 8 words by 64-bit hash, compared within one text only
-    d = d.withColumn("w8", F.expr("CASE WHEN n_words >= 8 THEN transform(sequence(1, n_words - 7), i -> xxhash64(slice(words, i, 8))) ELSE array() END")).drop("words")
+    d = d.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    eight = ", ".join(f"hashed[i + {j}]" for j in range(8))
+    d = d.withColumn("w8", F.expr(f"CASE WHEN n_words >= 8 THEN transform(sequence(0, n_words - 8), i -> xxhash64({eight})) ELSE array() END")).drop("hashed")
     d = d.withColumn("again", F.size(F.array_distinct("w8")) < F.size("w8"))
     d = d.withColumn("sorted", F.expr("CASE WHEN again THEN sort_array(transform(w8, (h, i) -> struct(h AS h, i AS i))) ELSE array() END")).drop("w8")
     twice = "(j > 0 AND sorted[j - 1].h = x.h) OR (j < size(sorted) - 1 AND sorted[j + 1].h = x.h)"
@@ -64,31 +68,48 @@ def _features(docs: DataFrame) -> DataFrame:
     return d.select(*keep)
 
 
+def _class_shares(min_chars: int) -> list[Column]:
+    """Medians over documents of each class's share: a minority of junk can't shift them."""
+    size = F.aggregate("classes", F.lit(0), lambda a, x: a + x)
+    return [F.percentile_approx(F.when(size > min_chars, F.col("classes")[i] / size), 0.5, 1000).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+
+
+def _smooth(shares: list[float | None]) -> list[float]:
+    """Shares that sum to 1, none of them 0."""
+    chars = [(x or 0.0) + 1e-4 for x in shares]
+    return [c / sum(chars) for c in chars]
+
+
 def references(features: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Class and common-word shares by language, over all documents of it.
+    """Class and common-word shares of the languages of COMMON_WORDS, over all documents of each.
 
-    Class shares are medians over documents, which a minority of junk can't
-    shift; word shares are sums.  At most one entry for each language of COMMON_WORDS comes to the driver;
-    shares are smoothed so that none is 0."""
+    Class shares are medians over documents, word shares are sums.  One entry at most for each
+    listed language comes to the driver."""
     known = features.filter(F.col("lang").isin(list(COMMON_WORDS)))
-    n = len(CLASSES) + 1
-    size = F.aggregate("classes", F.lit(0), lambda a, x: a + x)
-    shares = [F.percentile_approx(F.when(size > 0, F.col("classes")[i] / size), 0.5, 1000).alias(f"c{i}") for i in range(n)]
-    totals = known.groupBy("lang").agg(F.sum("n_tokens").alias("t"), *shares).collect()
+    totals = known.groupBy("lang").agg(F.sum("n_tokens").alias("t"), *_class_shares(0)).collect()
     counts = known.select("lang", F.explode("common").alias("x")).groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.n").alias("n")).collect()
     out = {}
     for r in sorted(totals, key=lambda r: r.lang):
-        chars = [(r[f"c{i}"] or 0.0) + 1e-4 for i in range(n)]
         words = [0.5] * len(VOCABULARY)
         for x in counts:
             if x.lang == r.lang:
                 words[x.w - 1] += x.n
         rest = max(r.t - sum(words) + 0.5 * len(words), 0) + 0.5
-        total, all_chars = sum(words) + rest, sum(chars)
-        out[r.lang] = ([c / all_chars for c in chars], [w / total for w in [*words, rest]])
+        total = sum(words) + rest
+        out[r.lang] = (_smooth([r[f"c{i}"] for i in range(len(CLASSES) + 1)]), [w / total for w in [*words, rest]])
     return out
 
 
+def own_references(features: DataFrame, min_documents: int) -> DataFrame:
+    """lang, n and shares (of character classes) of every language without a list of words;
+    shares are null where fewer than ``min_documents`` documents would make them."""
+    rows = features.filter(~F.col("lang").isin(list(COMMON_WORDS)))
+    some = rows.groupBy("lang").agg(F.count("*").alias("n"), *_class_shares(0))
+    raw = [F.coalesce(F.col(f"c{i}"), F.lit(0.0)) + 1e-4 for i in range(len(CLASSES) + 1)]
+    total = sum(raw, F.lit(0.0))
+    return some.select("lang", "n", F.when(F.col("n") >= min_documents, F.array(*[x / total for x in raw])).alias("shares"))
+
+
 def _term(p: Column, q: Column) -> Column:
     """A cell's part of the divergence in bits, less what it gives at p = 0."""
     m = (p + q) / 2
@@ -104,7 +125,7 @@ def _distance(divergence: Column) -> Column:
 
 
 def quality_rules(
-    docs: DataFrame, max_class_distance: float = 0.17, max_word_distance: float = 0.50, min_chars: int = 200, min_tokens: int = 60
+    docs: DataFrame, max_class_distance: float = 0.17, max_word_distance: float = 0.50, min_chars: int = 200, min_tokens: int = 60, min_documents: int = 20
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, reference, class_distance, word_distance.
@@ -115,30 +136,43 @@ def quality_rules(
     or ``min_tokens`` letter runs on.  reference is the closest one by the mean of
     the two distances.
 
-    Null text counts as empty: base_failed.  lang serves only to build
-    references: a null or unlisted lang adds to none, and the document is still
-    judged by the closest one.  With no reference at all (empty table, no listed
-    language) distances are null and only the base rules decide.  Null and
-    repeated doc_ids pass through; other columns are ignored."""
+    A document whose lang has no list of common words is also held against the
+    character classes of its own language (no word distance); with fewer than
+    ``min_documents`` documents that language proves nothing, and they pass.
+
+    Null text counts as empty: base_failed.  A null lang adds to no reference, and the
+    document is judged by the closest listed one.  With no reference at all (empty
+    table, no listed language) distances are null and only the base rules decide.
+    Null and repeated doc_ids pass through; other columns are ignored."""
     f = materialize(_features(docs), "features")
     refs = references(f)
+    own = materialize(own_references(f, min_documents), "languages")
+    lone = F.lit(None).cast("array<double>").alias("shares"), F.lit(False).alias("few")
+    if own.isEmpty():
+        f = f.select("*", *lone)
+    else:
+        listed = F.coalesce(F.col("lang").isin(list(COMMON_WORDS)), F.lit(True))
+        joined = join_keys(f.filter(~listed), own.select("lang", "shares"), "lang", own.select("lang", "n"))
+        f = f.filter(listed).select("*", *lone).unionByName(joined.withColumn("few", F.col("shares").isNull()))
     f = f.withColumn("n_chars", F.aggregate("classes", F.lit(0), lambda a, x: a + x))
     n_chars, n_tokens = F.greatest(F.col("n_chars"), F.lit(1)), F.greatest(F.col("n_tokens"), F.lit(1))
     f = f.withColumn("n_common", F.expr("aggregate(common, 0, (a, x) -> a + x.n)"))
-    tried = []
+    cells = lambda shares: _distance(sum((_term(F.col("classes")[i] / n_chars, q) for i, q in enumerate(shares)), F.lit(0.5)))
+    tried = [
+        F.when(
+            F.col("shares").isNotNull(),
+            F.struct(cells([F.col("shares")[i] for i in range(len(CLASSES) + 1)]).alias("c"), F.lit(None).cast("double").alias("w"), F.col("lang").alias("reference")),
+        )
+    ]
     for lang, (chars, words) in refs.items():
-        classes = sum((_term(F.col("classes")[i] / n_chars, F.lit(q)) for i, q in enumerate(chars)), F.lit(0.5))
-        own = _common_part(F.lit(words[:-1]), n_tokens)
-        common = F.lit(0.5) + own + _term((F.col("n_tokens") - F.col("n_common")) / n_tokens, F.lit(words[-1]))
-        tried.append(F.struct(_distance(classes).alias("c"), _distance(common).alias("w"), F.lit(lang).alias("reference")))
+        shared = F.lit(0.5) + _common_part(F.lit(words[:-1]), n_tokens) + _term((F.col("n_tokens") - F.col("n_common")) / n_tokens, F.lit(words[-1]))
+        tried.append(F.struct(cells([F.lit(q) for q in chars]).alias("c"), _distance(shared).alias("w"), F.lit(lang).alias("reference")))
+    f = f.withColumn("tried", F.filter(F.array(*tried), lambda x: x.isNotNull()))
     base_failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    if tried:
-        f = f.withColumn("tried", F.array(*tried))
-        near = lambda x: ((F.col("n_chars") < min_chars) | (x["c"] <= max_class_distance)) & ((F.col("n_tokens") < min_tokens) | (x["w"] <= max_word_distance))
-        f = f.withColumn("fits", F.exists("tried", near))
-        f = f.withColumn("best", F.array_min(F.transform("tried", lambda x: F.struct(((x["c"] + x["w"]) / 2).alias("d"), x["reference"].alias("reference"), x["c"].alias("c"), x["w"].alias("w")))))
-    else:
-        f = f.withColumn("fits", F.lit(True)).withColumn("best", F.lit(None).cast("struct<d:double,reference:string,c:double,w:double>"))
+    near = lambda x: ((F.col("n_chars") < min_chars) | (x["c"] <= max_class_distance)) & ((F.col("n_tokens") < min_tokens) | F.coalesce(x["w"] <= max_word_distance, F.lit(True)))
+    f = f.withColumn("fits", F.col("few") | (F.size("tried") == 0) | F.exists("tried", near))
+    mean = lambda x: (x["c"] + F.coalesce(x["w"], x["c"])) / 2
+    f = f.withColumn("best", F.array_min(F.transform("tried", lambda x: F.struct(mean(x).alias("d"), x["reference"].alias("reference"), x["c"].alias("c"), x["w"].alias("w")))))
     longs = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    out = f.select("doc_id", *longs, base_failed.alias("base_failed"), "fits", F.col("best.reference"), F.col("best.c").alias("class_distance"), F.col("best.w").alias("word_distance"))
-    return out.select("doc_id", *[c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", (~F.col("base_failed") & F.col("fits")).alias("kept"), "reference", "class_distance", "word_distance")
+    kept = (~base_failed & F.col("fits")).alias("kept")
+    return f.select("doc_id", *longs, base_failed.alias("base_failed"), kept, F.col("best.reference").alias("reference"), F.col("best.c").alias("class_distance"), F.col("best.w").alias("word_distance"))

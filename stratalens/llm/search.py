@@ -1,9 +1,9 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Vectors are integers; a dimension is a term and its non-zero components are the
-term's postings.  For a block of queries each term of the block scatters its
-weighted postings into a dense score array (queries x candidates of the block);
-the best of each query are selected per block of candidates and then merged.
+term's postings.  Each term of a block of queries scatters its weighted postings
+into a dense score array (queries x candidates); every partition keeps the best of
+each query as it streams through its candidates, and the partitions' best are merged.
 """
 
 from __future__ import annotations
@@ -15,7 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATES = 256, 4096
+from ._store import materialize
+from ._text import give_back
+
+#: Queries and candidates of one score array; bytes of the queries of one wave.
+QUERY_BLOCK, CANDIDATES, WAVE_BYTES = 512, 4096, 32 << 20
+_NONE = np.iinfo(np.int64).min
 
 
 def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,43 +47,65 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(total: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best of each row, ties to the smaller id.  int64 min marks a score that doesn't count."""
-    rows, cols = [], []
-    none = np.iinfo(np.int64).min
-    for r, own in enumerate(total):
-        c = np.flatnonzero(own != none)
-        if len(c) > k:
-            least = np.partition(own[c], len(c) - k)[len(c) - k]
-            c = c[own[c] >= least]
-        c = c[np.lexsort((ids[c], -own[c]))][:k]
-        rows.append(np.full(len(c), r))
-        cols.append(c)
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def _search(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        """One block of queries against one block of candidates (kind 0 and 1)."""
-        table = table.combine_chunks()
-        ids, kind = table.column("id").to_numpy(), table.column("kind").to_numpy()
-        vec, _ = _matrix(table.column("v").combine_chunks() if table.column("v").num_chunks != 1 else table.column("v").chunk(0))
-        q, c = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        c = c[np.argsort(ids[c], kind="stable")]
-        out = ([], [], [])
-        for lo in range(0, len(c), CANDIDATES) if len(q) else ():
-            part = c[lo : lo + CANDIDATES]
-            total = scores(vec[q], vec[part])
-            own, begin = np.unique(ids[part], return_index=True)
-            if len(own) < len(part):
-                # rows that repeat an id take one place, with their best score
-                total = np.maximum.reduceat(total, begin, axis=1)
-            total[ids[q][:, None] == own[None, :]] = np.iinfo(np.int64).min
-            r, x = best(total, own, k)
-            out[0].append(ids[q][r])
-            out[1].append(own[x])
-            out[2].append(total[r, x])
-        return pa.table({n: np.concatenate(o) if o else np.zeros(0, np.int64) for n, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
+def exact_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """The same, or an error where a score needs more than 64 bits."""
+    width = min(queries.shape[1], candidates.shape[1])
+    if width and len(queries) and len(candidates):
+        most = (np.abs(queries[:, :width].astype(float)).max(0) * np.abs(candidates[:, :width].astype(float)).max(0)).sum()
+        if most >= 2.0**62:
+            exact = queries[:, :width].astype(object) @ candidates[:, :width].astype(object).T
+            if max(abs(int(x)) for x in exact.ravel()) >= 2**63 - 1:
+                raise OverflowError("an inner product doesn't fit into 64 bits")
+            return exact.astype(np.int64)
+    return scores(queries, candidates)
+
+
+class Best:
+    """The k best (score, smaller id first) of each of n queries, each id once with its best score."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.query = self.id = self.score = np.zeros(0, np.int64)
+        self.least = np.full(n, _NONE)
+
+    def add(self, lo: int, total: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of queries ``lo`` on against candidates ``ids``; _NONE doesn't count."""
+        least = self.least[lo : lo + len(total)]
+        if len(ids) > 4 * self.k:
+            # whatever is below the k-th best distinct id so far can't win; on the first block, below the k-th best column
+            r, c = np.nonzero((total >= least[:, None]) & (total != _NONE))
+        else:
+            r, c = np.nonzero(total != _NONE)
+        if len(r) > 64 * self.k * len(total) and len(np.unique(ids)) == len(ids):
+            kth = np.partition(total, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            r, c = np.nonzero((total >= np.maximum(kth, least)[:, None]) & (total != _NONE))
+        query, found, score = np.append(self.query, r + lo), np.append(self.id, ids[c]), np.append(self.score, total[r, c])
+        order = np.lexsort((-score, found, query))
+        query, found, score = query[order], found[order], score[order]
+        first = np.append(True, (query[1:] != query[:-1]) | (found[1:] != found[:-1]))[: len(query)]
+        query, found, score = query[first], found[first], score[first]
+        order = np.lexsort((found, -score, query))
+        query, found, score = query[order], found[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = rank < self.k
+        last = rank == self.k - 1
+        self.least[query[last]] = score[last]
+        self.query, self.id, self.score = query[keep], found[keep], score[keep]
+
+
+def _search(ids: np.ndarray, vectors: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = Best(len(ids), k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, CANDIDATES):
+                part = batch.slice(at, CANDIDATES)
+                own, (vec, _) = part.column(0).to_numpy(), _matrix(part.column(1))
+                for lo in range(0, len(ids), QUERY_BLOCK):
+                    total = exact_scores(vectors[lo : lo + QUERY_BLOCK], vec)
+                    total[ids[lo : lo + QUERY_BLOCK, None] == own[None, :]] = _NONE
+                    top.add(lo, total, own)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[top.query]), pa.array(top.id), pa.array(top.score)], ["query_id", "vec_id", "score"])
+        give_back()
 
     return run
 
@@ -89,7 +116,9 @@ def quantize(vectors: DataFrame, scale: int = 256) -> DataFrame:
     x = F.col("embedding")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull()).filter(fine)
-    return rows.select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
+    whole = lambda c: F.floor(c.cast("double") * scale)
+    fits = lambda c: F.when(F.abs(c.cast("double") * scale) < 2.0**62, whole(c)).otherwise(F.raise_error(F.lit("a component doesn't fit into 64 bits")).cast("long"))
+    return rows.select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda c: fits(c).cast("long")).alias("v"))
 
 
 def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
@@ -105,19 +134,29 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 25
     once, one repeated with other vectors counts with its best score.  Other
     columns are ignored; an empty table gives none.
 
-    Queries are blocks of QUERY_BLOCK rows and each block meets every candidate
-    once, candidates dealt out evenly by a hash of id and vector; nothing is broadcast, no pair is emitted beyond
-    the k best of each block."""
-    base = quantize(vectors, scale).distinct()
+    A component or a score that doesn't fit into 64 bits is an error.
+
+    Queries go out in waves of about WAVE_BYTES, so that a wave has a bound whatever
+    the table's size; each wave reads the candidates where they lie, without an exchange,
+    and only the k best of each query and partition are dealt out for merging."""
+    base = quantize(vectors, scale)
     asks = base.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    n_queries, n_rows = asks.count(), base.count()
-    q_blocks, c_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // (2 * CANDIDATES)))
-    qb = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks))
-    cb = F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(c_blocks))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asks.select("id", "v", F.lit(0).alias("kind"), qb.cast("int").alias("q")).withColumn("c", spread(c_blocks))
-    right = base.select("id", "v", F.lit(1).alias("kind"), cb.cast("int").alias("c")).withColumn("q", spread(q_blocks))
-    found = left.unionByName(right).groupBy("q", "c").applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asks = materialize(asks, "queries")
+    size = asks.agg(F.sum(F.size("v") * 8 + 16)).first()[0] or 0
+    waves = max(1, -(-size // WAVE_BYTES))
+    results = []
+    for wave in range(waves):
+        table = asks.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(waves)) == wave).toArrow().combine_chunks()
+        if len(table):
+            vec, _ = _matrix(table.column("v").chunk(0))
+            found = base.mapInArrow(_search(table.column("id").to_numpy(), vec, k), "query_id long, vec_id long, score long")
+            found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            found = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            results.append(materialize(found, "found") if waves > 1 else found)
+    if not results:
+        return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out

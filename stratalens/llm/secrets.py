@@ -25,26 +25,49 @@ ENCODINGS = {
     "base62": (62, 0.625, 0.060, 0.22),
     "base64": (64, 0.643, 0.060, 0.25),
 }
-_SPAN = "array<struct<begin:long,end:long,m:string>>"
+_SPAN = "array<struct<begin:bigint,end:bigint,m:string>>"
+#: Code points of a cut of a text, and cuts of a cut of the first kind.
+CUT, CUTS = 4096, 64
 
 
-def _located(text: Column, pattern: str, worth: Column) -> Column:
-    """Leftmost non-overlapping matches with code-point begin and end.
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL of body with name standing for value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _scan(items: str, start: str, step: str, shift: str, then: str) -> str:
+    """SQL of a running fold over an array, in blocks of the square root of its size, so that
+    what a block has gathered is copied that often only.
+
+    start and step(acc, x) give struct(at, out) for a block that begins at 0; then(begin, out) lists a
+    block's results and shift(begin, at) the next block's begin."""
+    block = "greatest(16, int(sqrt(size(items))))"
+    folded = f"transform(sequence(0, greatest(size(items) - 1, 0) div n), k -> aggregate(slice(items, k * n + 1, n), {start}, (acc, x) -> {step}))"
+    begins = f"aggregate(blocks, array(0L), (acc, b) -> concat(acc, array({shift.format(begin='acc[size(acc) - 1]', at='b.at')})))"
+    out = f"flatten(transform(blocks, (b, k) -> {then.format(begin='begins[k]', out='b.out')}))"
+    return _bound(items, "items", _bound(block, "n", _bound(folded, "blocks", _bound(begins, "begins", out))))
+
+
+def _located(pattern: str, worth: str) -> Column:
+    """Leftmost non-overlapping matches in ``text`` with code-point begin and end.
 
     The pieces between matches and the matches themselves alternate, so running
     lengths give the offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+    quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pairs = f"zip_with(split(text, {quoted}, -1), regexp_extract_all(text, {quoted}, 0), (g, m) -> struct(bigint(length(g)) AS g, bigint(length(m)) AS n, m AS m))"
+    one = "struct(acc.at + x.g AS begin, acc.at + x.g + x.n AS end, x.m AS m)"
+    step = f"struct(acc.at + x.g + coalesce(x.n, 0L) AS at, CASE WHEN x.m IS NULL THEN acc.out ELSE concat(acc.out, array({one})) END AS out)"
+    then = "transform({out}, s -> struct(s.begin + {begin} AS begin, s.end + {begin} AS end, s.m AS m))"
+    found = _scan(pairs, f"struct(0L AS at, cast(array() AS {_SPAN}) AS out)", step, "{begin} + {at}", then)
+    return F.expr(f"CASE WHEN {worth.format(quoted)} THEN {found} ELSE cast(array() AS {_SPAN}) END")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.cast("long").alias("begin"), end.cast("long").alias("end"), x["m"].alias("m"))
-        return F.struct(end.cast("long").alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).cast(_SPAN).alias("out"))
 
-    pairs = F.zip_with(between, found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    return F.when(worth, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+def _overlaps(c: str, spans: str) -> str:
+    """SQL: whether c meets one of ``spans``, which are in order and apart: the first that ends after c begins is looked up."""
+    middle = "(acc.lo + acc.hi) div 2"
+    step = f"CASE WHEN acc.lo >= acc.hi THEN acc WHEN {spans}[{middle}].end > {c}.begin THEN struct(acc.lo AS lo, {middle} AS hi) ELSE struct({middle} + 1 AS lo, acc.hi AS hi) END"
+    first = f"aggregate(sequence(0, int(log2(size({spans})))), struct(0L AS lo, bigint(size({spans})) AS hi), (acc, i) -> {step}, acc -> int(acc.lo))"
+    return f"CASE WHEN size({spans}) = 0 THEN false ELSE coalesce(get({spans}, {first}).begin < {c}.end, false) END"
 
 
 def _tested(min_length: int) -> str:
@@ -90,35 +113,43 @@ def scan(docs: DataFrame, min_length: int = 20, fdr: float = 0.001) -> DataFrame
     are ignored; an empty table gives none."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     d = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = F.col("text")
-    assign = _located(t, ASSIGN, t.rlike("[:=]") & t.rlike(ASSIGN))
-    d = d.withColumn("assign", F.filter(assign, lambda s: F.length(F.regexp_extract(s["m"], ASSIGN, 2)) >= 12))
-    d = d.withColumn("access", _located(t, ACCESS, t.contains("AKIA") & t.rlike(ACCESS)))
-    d = d.withColumn("hex", _located(t, HEX, t.rlike(HEX)))
-    token = rf"[A-Za-z0-9+/_=-]{{{min_length},}}"
-    d = d.withColumn("cand", _located(t, token, t.rlike(token)))
+    d = d.withColumn("assign", F.filter(_located(ASSIGN, "text RLIKE '[:=]' AND text RLIKE {}"), lambda s: F.length(F.regexp_extract(s["m"], ASSIGN, 2)) >= 12))
+    d = d.withColumn("access", _located(ACCESS, "contains(text, 'AKIA') AND text RLIKE {}"))
+    d = d.withColumn("hex", _located(HEX, "text RLIKE {}"))
+    d = d.withColumn("cand", _located(rf"[A-Za-z0-9+/_=-]{{{min_length},}}", "text RLIKE {}"))
     d = d.withColumn("base", F.expr("concat(" + ", ".join(f"transform({k}, s -> struct(s.begin AS begin, {r} AS rank, s.end AS end, '{k}' AS kind))" for r, k in enumerate(KINDS[:3])) + ")"))
-    d = d.withColumn("cand", F.expr(f"filter(cand, c -> length(regexp_replace(c.m, '=+$', '')) >= {min_length} AND NOT exists(base, b -> b.begin < c.end AND c.begin < b.end))"))
+    apart = " AND ".join(f"NOT {_overlaps('c', k)}" for k in KINDS[:3])
+    d = d.withColumn("cand", F.expr(f"filter(cand, c -> length(regexp_replace(c.m, '=+$', '')) >= {min_length} AND {apart})"))
     d = d.withColumn("tested", F.expr(f"CASE WHEN size(cand) > 0 THEN {_tested(min_length)} ELSE NULL END"))
-    mean = "aggregate(tested, 0D, (a, x) -> a + x.n) / size(tested)"
-    d = d.withColumn("weighed", F.expr(f"sort_array(transform(tested, x -> struct(least(1D, x.p * ({mean}) / x.n) AS p, x.begin AS begin, x.end AS end, x.random AS random)))")).drop("tested", "cand")
-    d = d.withColumn("limit", F.expr(f"aggregate(transform(weighed, (x, i) -> CASE WHEN x.p <= {fdr}D * (i + 1) / size(weighed) THEN x.p ELSE -1D END), -1D, (a, x) -> greatest(a, x))"))
-    added = "coalesce(transform(filter(weighed, x -> x.p <= limit AND x.random), x -> struct(x.begin AS begin, 3 AS rank, x.end AS end, 'random' AS kind)), array())"
-    d = d.withColumn("spans", F.expr(f"sort_array(concat(base, {added}))"))
+    weighed = "sort_array(transform(tested, x -> struct(least(1D, x.p * mean / x.n) AS p, x.begin AS begin, x.end AS end, x.random AS random)))"
+    d = d.withColumn("weighed", F.expr(_bound("aggregate(tested, 0D, (a, x) -> a + x.n) / size(tested)", "mean", weighed))).drop("tested", "cand")
+    limit = f"aggregate(transform(w, (x, i) -> CASE WHEN x.p <= {fdr}D * (i + 1) / total THEN x.p ELSE -1D END), -1D, (a, x) -> greatest(a, x))"
+    added = "transform(filter(w, x -> x.p <= best AND x.random), x -> struct(x.begin AS begin, 3 AS rank, x.end AS end, 'random' AS kind))"
+    added = _bound("weighed", "w", _bound("size(w)", "total", _bound(limit, "best", added)))
+    d = d.withColumn("spans", F.expr(f"sort_array(concat(base, CASE WHEN size(weighed) > 0 THEN {added} ELSE array() END))"))
     return d.select("row", "doc_id", "text", "spans")
 
 
 def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """row, doc_id, text with each stretch of overlapping spans replaced by ``mark``, spans."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring("text", (acc["at"] + 1).cast("int"), F.greatest(s["begin"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.when(s["begin"] >= acc["at"], F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).cast("long").alias("at"), out.alias("out"))
-
-    rest = lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
+    """row, doc_id, text with each stretch of overlapping spans replaced by ``mark``, spans.
+
+    The text is cut into pieces of CUT code points first, so that what stays between two
+    spans is looked up in its own pieces and not from the text's first character."""
+    # (begin, end) of each stretch that stays, and whether a mark follows it: at most one for each span, and one more
+    quoted = "'" + mark.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    reach = _scan(
+        "spans", "struct(0L AS at, cast(array() AS array<bigint>) AS out)", "struct(greatest(acc.at, x.end) AS at, concat(acc.out, array(acc.at)) AS out)",
+        "greatest({begin}, {at})", "transform({out}, a -> greatest(a, {begin}))",
+    )
+    piece = f"substring(cuts[k], int(greatest(a - k * {CUT}, 0)) + 1, int(least(b, (k + 1) * {CUT}) - greatest(a, k * {CUT})))"
+    stays = f"CASE WHEN b > a THEN array_join(transform(sequence(int(a div {CUT}), int((b - 1) div {CUT})), k -> {piece}), '') ELSE '' END"
+    between = lambda a, b: _bound(a, "a", _bound(b, "b", stays))
+    one = f"CASE WHEN s.begin >= reach[i] THEN concat({between('reach[i]', 's.begin')}, {quoted}) ELSE '' END"
+    rest = between("aggregate(spans, 0L, (m, s) -> greatest(m, s.end))", "bigint(length(text))")
+    wide = CUT * CUTS
+    cuts = f"flatten(transform(sequence(0, length(text) div {wide}), j -> transform(array(substring(text, j * {wide} + 1, {wide})), p -> transform(sequence(0, {CUTS - 1}), k -> substring(p, k * {CUT} + 1, {CUT})))[0]))"
+    done = _bound(cuts, "cuts", _bound(reach, "reach", f"concat(array_join(transform(spans, (s, i) -> {one}), ''), {rest})"))
+    text = F.expr(f"CASE WHEN size(spans) > 0 THEN {done} ELSE text END")
     return found.select("row", "doc_id", text.alias("text"), "spans")
 
 

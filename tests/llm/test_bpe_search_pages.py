@@ -85,6 +85,25 @@ def test_search_counts_a_repeated_id_once(spark, monkeypatch):
         assert sorted(tuple(r) for r in search.exact_top_k(table).collect()) == sorted(want), size
 
 
+def test_search_in_waves(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=5)]) for i in range(500)], "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, search.exact_top_k(table).collect()))
+    monkeypatch.setattr(search, "WAVE_BYTES", 200)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, search.exact_top_k(table).collect())) == want and len(want) == 50
+
+
+def test_scores_beyond_64_bits_are_errors(spark):
+    huge = spark.createDataFrame([(50, [2.0**30, 1.0]), (51, [2.0**31, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        search.exact_top_k(huge).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        search.exact_top_k(spark.createDataFrame([(50, [2.0**60]), (51, [1.0])], "vec_id long, embedding array<double>")).collect()
+    edge = spark.createDataFrame([(50, [2.0**23, 0.5]), (51, [2.0**23, 1.0])], "vec_id long, embedding array<double>")
+    assert search.exact_top_k(edge).first().score == 2**62 + 128 * 256
+
+
 def test_accumulation_equals_product():
     rng = np.random.default_rng(2)
     q, c = rng.integers(-2, 3, (7, 9)), rng.integers(-2, 3, (20, 9))

@@ -34,6 +34,44 @@ def test_quality_verdict(spark):
     assert [i for i in (100, 101, 102) if out[i].kept] == [], [out[i] for i in (100, 101, 102)]
 
 
+def test_languages_without_a_list(spark):
+    """Clean documents of an unlisted language stay, junk in it goes, and a rare language proves nothing."""
+    rng = random.Random(3)
+    letters = "абвгдежзиклмнопрст"
+    prose = lambda: ". ".join(" ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(9)) for _ in range(8))
+    rows = [(i, prose(), "ru") for i in range(40)] + [(50, "$%& 12 " * 80, "ru"), (51, prose(), "uk"), (52, prose(), None)]
+    english = ["the", "of", "and", "to", "in", "garden", "winter", "stone", "is", "that"]
+    rows += [(100 + i, " ".join(rng.choice(english) for _ in range(150)), "en") for i in range(40)]
+    out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i].kept and out[i].reference == "ru" for i in range(40)) and all(out[100 + i].kept for i in range(40))
+    assert not out[50].kept and out[51].kept and not out[52].kept
+
+
+def test_the_word_test_bites(spark):
+    """Prose by its letters, but without a common word: beyond the limit where half of a language's words are common."""
+    rng = random.Random(4)
+    rest = ["garden", "winter", "paper", "stone", "river", "light", "music", "north"]
+    text = lambda share: ". ".join(" ".join(rng.choice(quality.COMMON_WORDS["en"] if rng.random() < share else rest) for _ in range(12)) for _ in range(12))
+    rows = [(i, text(0.5), "en") for i in range(50)] + [(60, ". ".join(" ".join(rng.choice(rest) for _ in range(12)) for _ in range(12)), "en")]
+    out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert out[60].class_distance <= 0.17 and out[60].word_distance > 0.5 and not out[60].kept and all(out[i].kept for i in range(50))
+
+
+def test_references_from_plain_counts(spark):
+    rows = [(1, "The cat and the dog, 12.", "en"), (2, "And THE end", "en"), (3, "le chat", "fr"), (4, None, "en"), (5, "x", None)]
+    refs = quality.references(quality._features(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert set(refs) == {"en", "fr"}
+    chars, words = refs["en"]
+    # of two texts the lower median: lower, space, wide, upper, stop, digit, other
+    first, second = [15 / 24, 5 / 24, 0, 1 / 24, 2 / 24, 2 / 24, 0], [5 / 11, 2 / 11, 0, 4 / 11, 0, 0, 0]
+    raw = [min(a, b) + 1e-4 for a, b in zip(first, second, strict=True)]
+    assert chars == pytest.approx([x / sum(raw) for x in raw], rel=1e-3)
+    count = {"the": 3, "and": 2}
+    cells = [0.5 + count.get(w, 0) for w in quality.VOCABULARY]
+    rest = max(8 - sum(cells) + 0.5 * len(cells), 0) + 0.5
+    assert words == pytest.approx([x / (sum(cells) + rest) for x in [*cells, rest]])
+
+
 def test_distance_is_jensen_shannon(spark):
     import numpy as np
 
@@ -56,6 +94,20 @@ def test_secret_base_spans(docs, none):
     assert secrets.scan(none).collect() == []
 
 
+def test_very_many_spans_in_one_text(spark):
+    """32,000 keys: offsets, overlaps and redaction take time in line with the text."""
+    import time
+
+    rng = random.Random(6)
+    text = "é " + " ".join(f"{rng.getrandbits(128):032x}" for _ in range(32000)) + " token = abcdefghijklmnop0123456789"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    found = secrets.redact(secrets.scan(df)).first()
+    assert time.time() - began < 60  # under ten seconds on a free machine; minutes before
+    assert [(s.begin, s.rank, s.end, s.kind) for s in found.spans] == brute.base_spans(text)
+    assert found.text == "é " + " ".join(["[SECRET]"] * 32001)
+
+
 def test_base_patterns_on_random_text(spark):
     rng = random.Random(8)
     pieces = ["token", "PASSWORD", "api_key", "apikey", "secret", "=", " = ", ":", '"', "'", "deadbeef", "0123456789abcdef0", "AKIA", "ABCDEFGH123456", "é", "𝔘", " ", "\n", "x_.-+/", "tokentoken"]
