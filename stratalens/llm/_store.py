@@ -37,7 +37,7 @@ SHARE, SPLIT = 1000, 1000
 
 
 def join_keys(rows: DataFrame, keys: DataFrame, on: str, counts: DataFrame | None = None) -> DataFrame:
-    """Inner join of rows with keys, which holds each long or string ``on`` once.
+    """Inner join of rows with keys, which holds each ``on`` (a number or string) once.
 
     Hot keys, SHARE at most, are joined by broadcast where their rows lie, the others by
     hash: no key's rows gather in one task.  counts (on, n) tells how many rows keys have; without it rows are counted."""
@@ -63,19 +63,16 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 3
 
 
-def lowest_by_hash(df: DataFrame, label: str, counts: DataFrame, per_label: int, seed: int, slack: int = 8, max_labels: int = 1000) -> DataFrame:
+def lowest_by_hash(df: DataFrame, label: str, counts: DataFrame, per_label: int, seed: int, slack: int = 8) -> DataFrame:
     """df with ``rank`` 1 to per_label: of each label the rows with the lowest hash of doc_id.
 
     counts (label, n) tells about how many rows a label has.  Rows whose hash is far
     above the expected limit are left out before ranking, so that the ranking
-    reads a few times per_label rows of a label at most, however many there are.  At
-    most ``max_labels`` labels, the most frequent, are sampled; so small is the table
-    that is broadcast."""
+    reads a few times per_label rows of a label at most, however many there are."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     h = F.xxhash64("doc_id", F.lit(seed))
     near = (h.cast("double") / 2.0**64 + 0.5) * F.col("n") < slack * per_label
     rank = F.row_number().over(Window.partitionBy(label).orderBy(h, "doc_id"))
-    few = F.broadcast(counts.orderBy(F.desc("n"), label).limit(max_labels))
-    return df.join(few, label).filter(near).drop("n").withColumn("rank", rank).filter(F.col("rank") <= per_label)
+    return join_keys(df, counts, label, counts).filter(near).drop("n").withColumn("rank", rank).filter(F.col("rank") <= per_label)

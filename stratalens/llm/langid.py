@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import lowest_by_hash
+from ._store import lowest_by_hash, materialize
 from ._text import blocks, flat_ranges
 
 WINDOW = 256
@@ -125,12 +125,18 @@ def train(texts: list[bytes], labels: list[str], dims: int = 8, filters: int = 1
     return ByteCnn(names, p["e"], [p[f"f{w}"] for w in WIDTHS], [p[f"b{w}"] for w in WIDTHS], p["o"].astype(np.float32), p["ob"].astype(np.float32))
 
 
-def labelled_windows(docs: DataFrame, per_label: int = 1200) -> tuple[list[bytes], list[str]]:
-    """A bounded sample for training: at most ``per_label`` rows of each lang by
-    a hash of doc_id, from each a stretch of WINDOW characters at a hashed place."""
+def labelled_windows(docs: DataFrame, per_label: int = 1200, most: int = 60_000) -> tuple[list[bytes], list[str]]:
+    """A bounded sample for training: of every lang at most ``per_label`` rows by
+    a hash of doc_id, fewer where there are so many languages that it would be over ``most`` rows
+    in all; from each row a stretch of WINDOW characters at a hashed place.  With more than ``most`` languages,
+    one row each of the ``most`` most frequent."""
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1
     spoken = docs.filter("lang is not null and length(text) > 0")
-    counts = docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    counts = materialize(spoken.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    number = counts.count()
+    if number > most:
+        counts = materialize(counts.orderBy(F.desc("n"), "lang").limit(most), "languages")
+    per_label = max(1, min(per_label, most // max(number, 1)))
     pieces = spoken.select("doc_id", "lang", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece"))
     rows = lowest_by_hash(pieces, "lang", counts, per_label, 2).orderBy("lang", "rank").select("lang", "piece").collect()
     return [r.piece.encode() for r in rows], [r.lang for r in rows]
@@ -172,7 +178,7 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
 
 
-def fit(docs: DataFrame, per_label: int = 1200) -> ByteCnn | None:
-    """Trains on labelled rows of docs (doc_id, text, lang); None if there are none."""
-    texts, labels = labelled_windows(docs, per_label)
+def fit(docs: DataFrame, per_label: int = 1200, most: int = 60_000) -> ByteCnn | None:
+    """Trains on at most ``per_label`` labelled rows of each lang and ``most`` in all of docs (doc_id, text, lang); None if there are none."""
+    texts, labels = labelled_windows(docs, per_label, most)
     return train(texts, labels) if texts else None

@@ -6,7 +6,9 @@ a token of a toxic document counts as toxic if one of its features is found
 almost only in toxic documents of the sample.  The field (two states) is trained
 on these labelled tokens by maximum conditional likelihood; forward-backward
 marginals give offending spans and, through a small logistic calibration, the
-score of the document.  Chains are pieces of at most PIECE tokens.
+score of the document.  Chains are worked on in pieces of PIECE tokens; messages are
+carried over their borders, so that marginals are those of the document's whole
+chain.  Training takes the pieces for chains.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import lowest_by_hash
-from ._text import LOWER, U, _P1, _prefix, blocks, byte_table, give_back, mix, words_of
+from ._store import lowest_by_hash, materialize
+from ._text import LOWER, U, _P1, _prefix, blocks, byte_table, flat_ranges, give_back, mix, words_of
 
 BITS, PIECE = 18, 64
 #: (from the start?, bytes); 0 bytes: the whole word
@@ -45,17 +47,22 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, first, feats
 
 
-def _pieces(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Grid (PIECE, pieces) of token numbers, and which cells hold one."""
+def _pieces(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Grid (PIECE, pieces) of token numbers, which cells hold one, each piece's place in its
+    document and the column of the piece after it (-1: none)."""
     n = np.diff(first)
     count = -(-n // PIECE)
     row = np.repeat(np.arange(len(n)), count)
     begin = first[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * PIECE
     length = np.minimum(PIECE, first[1:][row] - begin)
     order = np.argsort(-length, kind="stable")
+    column = np.empty(len(order), np.int64)
+    column[order] = np.arange(len(order))
+    place = flat_ranges(np.zeros(len(n), np.int64), count)
+    after = np.where(place + 1 < np.repeat(count, count), np.append(column[1:], 0)[: len(order)], -1)
     begin, length = begin[order], length[order]
     t = np.arange(PIECE, dtype=np.int32)[:, None]
-    return begin[None, :].astype(np.int32) + t, t < length[None, :]
+    return begin[None, :].astype(np.int32) + t, t < length[None, :], place[order], after[order]
 
 
 def _carry(x: np.ndarray, to1: tuple[float, float], to0: tuple[float, float]) -> np.ndarray:
@@ -63,16 +70,24 @@ def _carry(x: np.ndarray, to1: tuple[float, float], to0: tuple[float, float]) ->
     return np.logaddexp(x + to1[0], to1[1]) - np.logaddexp(x + to0[0], to0[1])
 
 
-def forward_backward(e: np.ndarray, held: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds messages of a two-state chain down axis 0: f includes the cell's own e, b doesn't; f + b is the marginal's logit."""
+def forward_backward(e: np.ndarray, held: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds messages of a two-state chain down axis 0: f includes the cell's own e, b doesn't; f + b is the marginal's logit.
+
+    before: f of the token before each column (nan: the chain begins); behind: b at each column's last token."""
     f, b = np.zeros_like(e), np.zeros_like(e)
     width = held.sum(1)
     f[0] = e[0]
+    if before is not None:
+        inside = ~np.isnan(before)
+        f[0, inside] += _carry(before[inside], (trans[1, 1], trans[0, 1]), (trans[1, 0], trans[0, 0]))
     for t in range(1, len(e)):
         w = width[t]  # pieces are sorted by length
         if not w:
             break
         f[t, :w] = e[t, :w] + _carry(f[t - 1, :w], (trans[1, 1], trans[0, 1]), (trans[1, 0], trans[0, 0]))
+    if behind is not None:
+        last = held.sum(0) - 1
+        b[last, np.arange(e.shape[1])] = behind
     for t in range(len(e) - 2, -1, -1):
         w = width[t + 1]
         if w:
@@ -80,6 +95,47 @@ def forward_backward(e: np.ndarray, held: np.ndarray, trans: np.ndarray) -> tupl
     return f, b
 
 
+def border_messages(e: np.ndarray, held: np.ndarray, trans: np.ndarray, place: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """before and behind of forward_backward for pieces of longer chains: each piece is
+    summed up in its 2 x 2 transfer (from the state before it to its last token's), and
+    those are chained, one place in the document after the other."""
+    before, behind = np.full(e.shape[1], np.nan), np.zeros(e.shape[1])
+    linked = np.flatnonzero((place > 0) | (after >= 0))
+    if not len(linked):
+        return before, behind
+    x, size = e[:, linked], held[:, linked].sum(0)
+    # m[s][z]: log of the sum over paths from state s before the piece to state z at its last token
+    m = [[np.full(len(linked), trans[s, 0]), trans[s, 1] + x[0]] for s in (0, 1)]
+    for t in range(1, len(x)):
+        w = int((size > t).sum())
+        if not w:
+            break
+        for own in m:
+            zero = np.logaddexp(own[0][:w] + trans[0, 0], own[1][:w] + trans[1, 0])
+            one = x[t, :w] + np.logaddexp(own[0][:w] + trans[0, 1], own[1][:w] + trans[1, 1])
+            own[0][:w], own[1][:w] = zero, one
+    full = np.zeros((4, e.shape[1]))
+    full[:, linked] = m[0][0], m[0][1], m[1][0], m[1][1]
+    by_place = np.argsort(place, kind="stable")
+    edge = np.searchsorted(place[by_place], np.arange(place.max() + 2))
+    first = by_place[edge[0] : edge[1]]
+    f, _ = forward_backward(e[:, first], held[:, first], trans)
+    now = np.zeros(e.shape[1])  # f at each piece's last token
+    now[first] = f[held[:, first].sum(0) - 1, np.arange(len(first))]
+    for p in range(int(place.max())):
+        own = by_place[edge[p] : edge[p + 1]]
+        own = own[after[own] >= 0]
+        then = after[own]
+        before[then] = now[own]
+        now[then] = _carry(now[own], (full[3, then], full[1, then]), (full[2, then], full[0, then]))
+    for p in range(int(place.max()) - 1, -1, -1):
+        own = by_place[edge[p] : edge[p + 1]]
+        own = own[after[own] >= 0]
+        then = after[own]
+        behind[own] = _carry(behind[then], (full[3, then], full[2, then]), (full[1, then], full[0, then]))
+    return before, behind
+
+
 @dataclass
 class ToxicField:
     weights: np.ndarray  # 2**BITS
@@ -95,9 +151,9 @@ class ToxicField:
         e = np.full(len(feats), self.bias)
         for i in range(feats.shape[1]):
             e += self.weights[feats[:, i]]
-        at, held = _pieces(first)
+        at, held, place, after = _pieces(first)
         grid = np.where(held, e[np.minimum(at, len(e) - 1)], 0.0)
-        f, b = forward_backward(grid, held, self.trans)
+        f, b = forward_backward(grid, held, self.trans, *border_messages(grid, held, self.trans, place, after))
         out[at[held]] = (f + b)[held]
         return out
 
@@ -200,8 +256,9 @@ def token_labels(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fresh: n
     return (marked & toxic[doc]).astype(np.float64)
 
 
-def train(texts: list[bytes], toxic: list[int], epochs: int = 6, steps: int = 150, rate: float = 0.3, decay: float = 1e-6, seed: int = 5) -> ToxicField:
-    """Adagrad on the chains' conditional log-likelihood (``epochs``, and ``steps`` at least), then the calibration."""
+def train(texts: list[bytes], toxic: list[int], whole: list[bool] | None = None, epochs: int = 6, steps: int = 150, rate: float = 0.3, decay: float = 1e-6, seed: int = 5) -> ToxicField:
+    """Adagrad on the chains' conditional log-likelihood (``epochs``, and ``steps`` at least), then the
+    calibration, on texts that are ``whole`` (their label may rest on what was cut off the others)."""
     y_doc, parts, counts = np.array(toxic, bool), [], [np.zeros(1, np.int64)]
     for lo in range(0, len(texts), 256):
         some = texts[lo : lo + 256]
@@ -218,7 +275,7 @@ def train(texts: list[bytes], toxic: list[int], epochs: int = 6, steps: int = 15
     bias, trans = -3.0, np.zeros((2, 2))
     g2b, g2t = 1e-2, np.full((2, 2), 1e-2)
     rng = np.random.default_rng(seed)
-    at, held = _pieces(first)
+    at, held, _, _ = _pieces(first)
     epochs = max(epochs, -(-steps // max(1, -(-at.shape[1] // 2048))))
     for _ in range(epochs if len(feats) else 0):
         order = rng.permutation(at.shape[1])
@@ -251,27 +308,36 @@ def train(texts: list[bytes], toxic: list[int], epochs: int = 6, steps: int = 15
             g2t += gt * gt
             trans = trans - rate * gt / np.sqrt(g2t)
     field = ToxicField(w.astype(np.float32), float(bias), trans, np.zeros(4))
-    field.calibration = _logistic(summary(field.marginals(first, feats), first)[fresh], y_doc[fresh].astype(float))
+    uncut = fresh & np.array(whole, bool) if whole is not None and len({t for t, w, f in zip(toxic, whole, fresh, strict=True) if w and f}) > 1 else fresh
+    field.calibration = _logistic(summary(field.marginals(first, feats), first)[uncut], y_doc[uncut].astype(float))
     return field
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 12000) -> ToxicField | None:
     """Trains on a bounded sample: of each class at most ``per_class`` labelled
-    documents of at most ``longest`` characters, by a hash of doc_id.
+    documents by a hash of doc_id, of each at most ``longest`` characters: of a longer text
+    a stretch at a hashed place.
 
     labels: doc_id, toxic (0 or 1; other values and nulls are left out; the
-    largest of repeated labels counts).  None without both classes."""
+    largest of repeated labels counts).  Of rows that repeat a doc_id one text serves.
+    None without both classes."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    near = docs.filter(F.length("text") <= longest).select("doc_id", "text").join(known, "doc_id")
-    counts = known.groupBy("toxic").agg(F.count("*").alias("n"))
-    ids = lowest_by_hash(near.select("doc_id", "toxic"), "toxic", counts, per_class, 3).select("doc_id", "toxic")
-    rows = docs.filter(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    toxic = rows.column("toxic").to_pylist()
+    # what can be sampled: labelled documents with a text, each id once
+    usable = docs.filter(F.length("text") > 0).select("doc_id").distinct().join(known, "doc_id").select("doc_id", "toxic")
+    usable = materialize(usable, "labelled")
+    counts = usable.groupBy("toxic").agg(F.count("*").alias("n"))
+    ids = lowest_by_hash(usable, "toxic", counts, per_class, 3).select("doc_id", "toxic")
+    size = F.length("text")
+    start = (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.greatest(size - longest + 1, F.lit(1))) + 1).cast("int")
+    piece = F.struct((size <= longest).alias("whole"), F.substring("text", start, F.lit(longest)).alias("text"))
+    rows = docs.filter(size > 0).select("doc_id", piece.alias("p")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("p").alias("p"), F.max("toxic").alias("toxic"))
+    rows = rows.select("doc_id", "toxic", "p.whole", "p.text").toArrow().sort_by("doc_id")
+    toxic, whole = rows.column("toxic").to_pylist(), rows.column("whole").to_pylist()
     if len(set(toxic)) < 2:
         return None
     texts = [t.as_py().encode() for t in rows.column("text")]
     del rows
-    field = train(texts, toxic)
+    field = train(texts, toxic, whole)
     give_back()
     return field
 

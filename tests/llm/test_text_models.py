@@ -126,3 +126,96 @@ def test_toxic_words_of_a_minority_language_are_marked():
     assert marked["grim"] == 0  # a language with mostly toxic documents isn't toxic by its words
     joined = b"".join(texts)
     assert all(joined[s:e].startswith((b"scumbag", b"boment")) for s, e in zip(starts[y > 0], ends[y > 0], strict=True))
+
+
+def plain_language(model, text):
+    """Label and score of a text, each filter slid over each window."""
+    data = text.encode()
+    total = np.zeros(len(model.labels))
+    for lo in range(0, len(data), langid.WINDOW):
+        own = data[lo : lo + langid.WINDOW]
+        e = model.embed[np.frombuffer(own.ljust(langid.WINDOW, b"\0"), np.uint8).astype(int)]
+        pooled = []
+        for w, f, b in zip(langid.WIDTHS, model.filters, model.bias, strict=True):
+            for j in range(f.shape[2]):
+                pooled.append(max((e[i : i + w] * f[:, :, j]).sum() for i in range(langid.WINDOW - w + 1)) + b[j])
+        z = np.maximum(pooled, 0) @ model.out + model.out_bias
+        z = np.exp(z - z.max())
+        total += z / z.sum() * len(own)
+    total /= len(data)
+    return model.labels[int(total.argmax())], total.max()
+
+
+def test_predictions_are_those_of_the_plain_network(spark, languages):
+    model = langid.fit(languages, per_label=20)
+    rows = [(i, t) for i, t in brute.texts() if t and any(c.isalpha() for c in t) and len(t) < 3000] + [(r.doc_id + 100, r.text) for r in languages.limit(12).collect()]
+    out = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        label, score = plain_language(model, t)
+        assert out[i].score == pytest.approx(score, abs=1e-3) and (out[i].lang_pred == label or abs(score - 1 / len(model.labels)) < 0.05), i
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"zz{i % 1001} text", f"l{i % 1001}") for i in range(3003)]
+    texts, labels = langid.labelled_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=2100)
+    assert len(set(labels)) == 1001 and len(labels) == 2002
+    assert len(set(langid.labelled_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=900)[1])) == 900
+
+
+def plain_toxicity(field, text):
+    """Marginal logits of a text's tokens and its score, token by token over the whole chain."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, _, first, feats = toxicity.tokens(data, np.array([0, len(data)]))
+    e = [field.bias + sum(float(field.weights[x]) for x in row) for row in feats]
+    t, n = field.trans, len(e)
+    ahead, back = np.zeros((n, 2)), np.zeros((n, 2))
+    for i in range(n):
+        for z in (0, 1):
+            ahead[i, z] = z * e[i] + (np.logaddexp(ahead[i - 1, 0] + t[0, z], ahead[i - 1, 1] + t[1, z]) if i else 0)
+    for i in range(n - 2, -1, -1):
+        for z in (0, 1):
+            back[i, z] = np.logaddexp(t[z, 0] + back[i + 1, 0], t[z, 1] + e[i + 1] + back[i + 1, 1])
+    logits = sorted(((ahead + back)[:, 1] - (ahead + back)[:, 0]).tolist(), reverse=True) if n else []
+    top = [min(max(x, -8), 8) for x in [*logits[:2], -8, -8][:2]]
+    x = np.array([1, *top, np.log1p(sum(1 / (1 + np.exp(-v)) for v in logits))])
+    return logits, 1 / (1 + np.exp(-float(x @ field.calibration)))
+
+
+def test_scores_are_those_of_the_whole_chain(spark, labelled):
+    """Documents of many pieces, toxic words on their borders among them."""
+    field = toxicity.fit(*labelled)
+    field.trans = np.array([[0.5, -1.0], [-1.5, 1.0]])  # so that neighbours matter
+    rng = np.random.default_rng(8)
+    rows = []
+    for i, n in enumerate([0, 1, 63, 64, 65, 128, 129, 300, 1000]):
+        w = list(rng.choice(["anre", "thend", "ionti", "erou"], n))
+        for at in (62, 63, 64, 127, 128, 191):
+            if at < n and i % 2:
+                w[at] = "idiot"
+        rows.append((i, " ".join(w)))
+    out = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    for i, t in rows:
+        logits, score = plain_toxicity(field, t)
+        assert out[i].score == pytest.approx(score, abs=1e-6), i
+        found = sum(s.marginal >= 0.5 for s in out[i].spans)
+        assert (found > 0) == bool(logits and logits[0] >= 0)
+
+
+def test_long_labelled_documents_are_learned_from(spark):
+    """Toxic documents all over ``longest`` characters: stretches of them mark the words."""
+    rng = np.random.default_rng(3)
+    plain = [f"{a}{b}" for a in ("an", "the", "ion", "er", "st") for b in ("re", "nd", "ti", "ou", "ha", "bl")]
+    rows, labels = [], []
+    for i in range(160):
+        bad = i % 2
+        w = list(rng.choice(plain, 3000 if bad else 200))
+        if bad:
+            for at in range(5, len(w), 40):
+                w[at] = "vequidiot"
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert min(len(t) for i, t in rows if i % 2) > 13000
+    field = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = {r.doc_id: r.score for r in toxicity.score(docs, field).collect()}
+    assert all((out[i] >= 0.7) == bool(i % 2) for i in out)
