@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from importlib import import_module
 from pathlib import Path
 
 from .operators import enrich, evaluate, inspection, search
@@ -20,6 +21,11 @@ def _backend(args: argparse.Namespace) -> enrich.Backend | None:
         return enrich.Heuristic()
     if args.llm_mode == "openai":
         return enrich.ChatEndpoint(args.llm_url, args.llm_model or "default")
+    if args.llm_mode == "local":
+        module, _, name = (args.llm_model or "").partition(":")
+        if not name:
+            raise SystemExit("--llm-mode local needs --llm-model MODULE:FUNCTION, a function that loads the model")
+        return enrich.LocalModel(getattr(import_module(module), name))
     return None
 
 
@@ -30,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     def common(name: str, text: str) -> argparse.ArgumentParser:
         c = sub.add_parser(name, help=text)
         c.add_argument("--db", default=".stratalens", help="folder of the index tables")
-        c.add_argument("--llm-mode", choices=["heuristic", "openai"])
+        c.add_argument("--llm-mode", choices=["heuristic", "openai", "local"])
         c.add_argument("--llm-model")
         c.add_argument("--llm-url", default="http://localhost:11434/v1")
         return c

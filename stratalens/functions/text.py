@@ -51,6 +51,14 @@ def member_hash(content_hash: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(F.coalesce(content_hash, F.lit("")))), ""), 256)
 
 
+def set_digest(content_hash: Column) -> Column:
+    """Aggregate: a digest of a multiset of sha256 hashes in hexadecimal, whatever their order.
+
+    Sums of four stretches of the hashes and their number, so that partitions combine and no list is gathered."""
+    part = lambda i: F.sum(F.conv(F.substring(content_hash, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)"))
+    return F.sha2(F.concat_ws(":", F.count(content_hash), *[F.coalesce(part(i), F.lit(0)).cast("string") for i in range(4)]), 256)
+
+
 def concept_label(name: Column, concept_id: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("concept_"), concept_id.cast("string")))
 

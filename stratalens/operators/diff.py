@@ -54,6 +54,17 @@ def surviving_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return surviving(surviving(edges, "src_symbol_id", symbols), "dst_symbol_id", symbols)
 
 
+def to_embed(symbols: DataFrame, kept: DataFrame) -> DataFrame:
+    """Symbols that have none of the kept embeddings."""
+    return symbols.join(kept.select("symbol_id"), "symbol_id", "left_anti")
+
+
+def still_there(old_files: DataFrame, scanned: DataFrame, listed: DataFrame) -> DataFrame:
+    """Stored files that are listed but could not be read this time: they keep their rows."""
+    unread = listed.select("path").join(scanned.select("path"), "path", "left_anti")
+    return old_files.join(unread, "path", "left_semi")
+
+
 def reusable_embeddings(embeddings: DataFrame, symbols: DataFrame, model: str) -> DataFrame:
     """Embeddings whose symbol still has the hash and that come from this model."""
     return embeddings.filter(F.col("model") == model).join(symbols.select("symbol_id", "content_hash"), ["symbol_id", "content_hash"], "left_semi").select(*embeddings.columns)

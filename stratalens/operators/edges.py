@@ -14,6 +14,7 @@ from ..functions.text import first_part, last_part
 
 ORDER = ("path", "start_line", "end_line", "symbol_id")
 _NOT_BASES = ("object", "ABC", "Protocol")
+STRETCH = 4096
 
 
 def _order() -> Column:
@@ -118,28 +119,45 @@ def enclosing_symbols(symbols: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (path, line, ...) with src: the symbol with the greatest (start, end, id)
     that starts at or before the line, if it also ends at or after it; else null.
 
-    One sort by file and line; no range join."""
+    One sort by file and line, no range join.  Files are cut into stretches of STRETCH
+    lines, each of which takes over the last symbol that starts in one before, so
+    that a very long file isn't one task's."""
     extra = [c for c in probes.columns if c not in ("path", "line")]
     none = [F.lit(None).cast(dict(probes.dtypes)[c]).alias(c) for c in extra]
     marks = symbols.groupBy("path", F.col("start_line").alias("line")).agg(F.max(F.struct("end_line", "symbol_id")).alias("_s"))
     both = marks.select("path", F.col("line").cast("long").alias("line"), "_s", F.lit(0).alias("_probe"), *none).unionByName(
         probes.select("path", F.col("line").cast("long").alias("line"), F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_probe"), *extra)
     )
-    last = F.last("_s", ignorenulls=True).over(Window.partitionBy("path").orderBy("line", "_probe").rowsBetween(Window.unboundedPreceding, 0))
-    hit = both.withColumn("_hit", last).filter("_probe = 1")
+    both = both.withColumn("_part", F.floor(F.col("line") / STRETCH))
+    ends = both.filter("_s is not null").groupBy("path", "_part").agg(F.max_by("_s", "line").alias("_end"))
+    # the last symbol of all stretches before; stretches without a symbol ask too
+    asked = both.select("path", "_part").distinct().join(ends, ["path", "_part"], "left")
+    carry = F.last("_end", ignorenulls=True).over(Window.partitionBy("path").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    both = both.join(asked.select("path", "_part", carry.alias("_carry")), ["path", "_part"])
+    last = F.last("_s", ignorenulls=True).over(Window.partitionBy("path", "_part").orderBy("line", "_probe").rowsBetween(Window.unboundedPreceding, 0))
+    hit = both.withColumn("_hit", F.coalesce(last, "_carry")).filter("_probe = 1")
     return hit.select("path", "line", *extra, F.when(F.col("_hit.end_line") >= F.col("line"), F.col("_hit.symbol_id")).alias("src"))
 
 
 _TO_NAME = {"go": names.go_name, "python": names.python_name, "java": names.java_name}
 
 
+def is_use(roles: Column) -> Column:
+    """Whether an occurrence isn't a definition."""
+    return roles.bitwiseAND(1) == 0
+
+
+def role_kind(roles: Column) -> Column:
+    return F.when(roles.bitwiseAND(2) != 0, "import").otherwise("call")
+
+
 def scip_edges(occurrences: DataFrame, symbols: DataFrame, language: str) -> DataFrame:
     """Edges from decoded index occurrences (path, symbol, roles, line from 0; null line: no range)."""
     scope = symbols.filter(F.col("language") == language)
-    used = occurrences.filter((F.col("symbol") != "") & ~F.startswith("symbol", F.lit("local ")) & (F.col("roles").bitwiseAND(1) == 0) & F.col("line").isNotNull())
-    used = used.select("path", (F.col("line") + 1).alias("line"), _TO_NAME[language](F.col("symbol")).alias("key"), (F.col("roles").bitwiseAND(2) != 0).alias("imported"))
+    used = occurrences.filter((F.col("symbol") != "") & ~F.startswith("symbol", F.lit("local ")) & is_use(F.col("roles")) & F.col("line").isNotNull())
+    used = used.select("path", (F.col("line") + 1).alias("line"), _TO_NAME[language](F.col("symbol")).alias("key"), role_kind(F.col("roles")).alias("kind"))
     found = enclosing_symbols(scope, used).filter(F.col("src").isNotNull()).join(by_qualified_name(scope), "key")
-    return _edges(found, F.when(F.col("imported"), "import").otherwise("call"))
+    return _edges(found, F.col("kind"))
 
 
 def resolve(symbols: DataFrame, imports: DataFrame | None = None, occurrences: dict[str, DataFrame] | None = None, all_languages: bool = False) -> DataFrame:

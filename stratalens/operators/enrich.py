@@ -8,7 +8,7 @@ import json
 import re
 import urllib.request
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -29,7 +29,7 @@ LABEL_TASK = (
 )
 DOC_TASK = "Document the symbol below in at most three sentences, naming concrete types and purposes; reply with the comment's text alone."
 RANK_TASK = "How well does the concept answer the developer's question? Reply with a number from 0 to 1 and nothing else."
-STEER_TASK = 'Judge whether the concepts found answer the question. Reply in JSON: {"done": true}, or {"done": false, "next_query": "..."} with other words if a whole aspect is missing.'
+STEER_TASK = "Judge whether the concepts found answer the question. Reply with a JSON object: done (true or false) and, only where some side of the question has no concept yet, next_query (a search for that side)."
 
 
 class Backend(Protocol):
@@ -70,6 +70,21 @@ class ChatEndpoint:
             return json.load(reply)["choices"][0]["message"]["content"]
 
 
+class LocalModel:
+    """A model that runs in the workers: ``load`` gives a function (messages, max_tokens, schema) -> text, once in each worker."""
+
+    def __init__(self, load: Callable[[], Callable[[list[dict], int, str | None], str]]):
+        self.load, self._model = load, None
+
+    def __getstate__(self):
+        return {"load": self.load, "_model": None}
+
+    def chat(self, messages: list[dict], max_tokens: int = 256, schema: str | None = None) -> str:
+        if self._model is None:
+            self._model = self.load()
+        return self._model(messages, max_tokens, schema)
+
+
 def ask(df: DataFrame, task: str, prompt: str, backend: Backend, schema: str | None = None, max_tokens: int = 256) -> DataFrame:
     """df with the backend's reply to each prompt (null if it fails).  Calls run in the partitions' tasks: repartition sets how many at a time."""
 
@@ -126,9 +141,9 @@ def parse_labels(replies: DataFrame) -> DataFrame:
     )
 
 
-def label_concepts(concepts: DataFrame, members: DataFrame, symbols: DataFrame, backend: Backend, workers: int = 1) -> DataFrame:
-    """concepts with labels where they had none; malformed replies leave null."""
-    prompts = label_prompts(concepts, members, symbols).repartition(max(workers, 1))
+def label_concepts(concepts: DataFrame, members: DataFrame, symbols: DataFrame, backend: Backend, workers: int = 1, chosen: Column | None = None) -> DataFrame:
+    """concepts with labels where they had none (of ``chosen`` ones); malformed replies leave null."""
+    prompts = label_prompts(concepts if chosen is None else concepts.filter(chosen), members, symbols).repartition(max(workers, 1))
     new = parse_labels(ask(prompts, LABEL_TASK, "prompt", backend, LABEL_SCHEMA)).select("concept_id", *[F.col(c).alias(f"new_{c}") for c in ("name", "description", "role")])
     out = concepts.join(new, "concept_id", "left")
     fresh = F.col("name").isNull()

@@ -41,12 +41,12 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     )
 
 
-def extract_imports(files: DataFrame) -> DataFrame:
-    """path, language, module, name (null where a whole module is imported)."""
+def extract_imports(files: DataFrame, grouped: bool = False) -> DataFrame:
+    """path, language, module, name (null where a whole module is imported); ``grouped``: Go imports in parentheses count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f.path, f.language, m, n) for f in b.itertuples(index=False) for m, n in imported_names(f.language, bytes(f.content or b"").decode("utf-8", "replace"))]
+            rows = [(f.path, f.language, m, n) for f in b.itertuples(index=False) for m, n in imported_names(f.language, bytes(f.content or b"").decode("utf-8", "replace"), grouped)]
             yield pd.DataFrame(rows, columns=["path", "language", "module", "name"])
 
     wanted = files.filter(F.col("language").isin("python", "java", "go"))

@@ -28,12 +28,12 @@ def skeleton(language: str, source: str, kind: str) -> str:
     return SKELETONS.get(language, lambda s, _: s)(source, kind)
 
 
-def imported_names(language: str, text: str) -> list[tuple[str, str | None]]:
+def imported_names(language: str, text: str, grouped: bool = False) -> list[tuple[str, str | None]]:
     """(module or name, imported symbol) pairs of a file; languages without import edges have none."""
     if language == "python":
         return python_lang.imports(text)
     if language == "java":
         return [(n, None) for n in java_lang.imports(text)]
     if language == "go":
-        return [(n, None) for n in go_lang.imports(text)]
+        return [(n, None) for n in go_lang.imports(text, grouped)]
     return []

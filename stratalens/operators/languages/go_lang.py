@@ -97,9 +97,18 @@ def extract(text: str, module: str) -> list[dict]:
     return out
 
 
-def imports(text: str) -> list[str]:
-    """Last path segments of single import declarations."""
+def imports(text: str, grouped: bool = False) -> list[str]:
+    """Last path segments of single import declarations; of those in parentheses too if ``grouped``."""
     src, out = Source(text, "go"), []
+    if grouped:
+        for i, t in enumerate(src.tokens):
+            if t.kind == "word" and t.text == "import" and src.is_(i + 1, "("):
+                j = i + 2
+                while j < len(src.tokens) and not src.is_(j, ")"):
+                    if src.tokens[j].kind == "string":
+                        path = src.tokens[j].text.strip('"`').rsplit("/", 1)[-1]
+                        out += [path] if path else []
+                    j += 1
     for i, t in enumerate(src.tokens):
         if t.kind == "word" and t.text == "import" and not src.is_(i + 1, "("):
             j = i + 1 + (src.word(i + 1) or src.is_(i + 1, ".", "_"))

@@ -50,6 +50,12 @@ def sibling_implementations(members: DataFrame, symbols: DataFrame, edges: DataF
     return heirs.join(symbols.select("symbol_id", "name", F.col("path").alias("file")), "symbol_id").select("concept_id", "name", "file").distinct()
 
 
+def merge_best(found: DataFrame) -> DataFrame:
+    """concept_id, score, step: for each concept its best score over steps, the earlier step of equals."""
+    best = F.max_by(F.struct("score", "step"), F.struct("score", -F.col("step"))).alias("b")
+    return found.groupBy("concept_id").agg(best).select("concept_id", "b.score", "b.step")
+
+
 class Searcher:
     """The index tables and an encoder, ready for questions."""
 
@@ -68,17 +74,18 @@ class Searcher:
 
     def agentic_query(self, text: str, backend: enrich.Backend, top_k: int = 5, max_iterations: int = 3) -> list[dict]:
         """Several questions, merged: a concept keeps its best score, the earlier one of equals."""
-        merged: dict[int, dict] = {}
+        seen: dict[tuple[int, int], dict] = {}
         asked = text
         for step in range(1, max_iterations + 1):
             found = self.query(asked, top_k * 2)
-            for r in found:
-                if r["concept_id"] not in merged or r["score"] > merged[r["concept_id"]]["score"]:
-                    merged[r["concept_id"]] = r
+            seen |= {(r["concept_id"], step): r for r in found}
             asked = enrich.next_question(text, found, backend, step)
             if asked is None:
                 break
-        ranked = sorted(merged.values(), key=lambda r: -r["score"])[:top_k]
+        rows = self.concepts.sparkSession.createDataFrame([(c, r["score"], s) for (c, s), r in seen.items()], "concept_id long, score double, step int")
+        merged = [seen[r.concept_id, r.step] for r in merge_best(rows).orderBy("step").collect()]
+        order = {key: i for i, key in enumerate(seen)}  # equal scores stay as they were first found
+        ranked = sorted(merged, key=lambda r: (-r["score"], min(i for (c, _), i in order.items() if c == r["concept_id"])))[:top_k]
         return [r | {"rank": i} for i, r in enumerate(ranked, 1)]
 
 

@@ -1,8 +1,8 @@
-"""The reference operators over the driver's tables, each with its DuckDB equivalent.
+"""The engine's operators over the driver's tables, each with its DuckDB equivalent.
 
 The tables hold no source code, so they stand in: parts and documents for
 symbols, pages for file paths, label groups of embeddings for concepts, order
-lines for reference edges."""
+lines for reference edges.  Every query calls the operator that the index itself uses."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text, vectors
 from ..operators import cluster, diff, edges, enrich, evaluate, extract, inspection, search
 from ..operators.languages import EXTENSIONS, skeleton
+from ..sources import repo
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -95,12 +96,8 @@ def files_by_language(spark, sf_dir):
 @_query(f"""SELECT page_id, path FROM ({_PATH}) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT regexp_extract(path, '^[^/]+/[^/]+', 0) AS pre FROM ({_PATH}) WHERE page_id % 10 = 0) x
   WHERE pre = '' OR p.path = pre OR starts_with(p.path, concat(pre, '/'))) """.replace("pre = '' OR ", ""))
 def excluded_paths(spark, sf_dir):
-    """Paths at or below none of the excluded folders; the list is a table, matched on the path's own prefixes."""
     p = _paths(spark, sf_dir)
-    out = p.filter("page_id % 10 = 0").select(F.regexp_extract("path", "^[^/]+/[^/]+", 0).alias("pre")).distinct()
-    parts = F.split("path", "/")
-    spread = p.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("pre"))
-    return p.join(spread.join(out, "pre", "left_semi").select("page_id").distinct(), "page_id", "left_anti")
+    return repo.not_below(p, p.filter("page_id % 10 = 0").select(F.regexp_extract("path", "^[^/]+/[^/]+", 0).alias("path")))
 
 
 @_query(f"SELECT page_id, path FROM ({_PATH}) WHERE NOT (path = 'example.org' OR starts_with(path, 'example.org/')) AND NOT regexp_matches(path, '_{{2}}init_{{2}}\\.py$') AND NOT regexp_matches(path, '(en|fr)/[0-9]*7')")
@@ -108,12 +105,13 @@ def excluded_regex(spark, sf_dir):
     return _paths(spark, sf_dir).filter(~text.excluded(F.col("path"), ("example.org/",), (r"_{2}init_{2}\.py$", "(en|fr)/[0-9]*7")))
 
 
-@_query("""SELECT source AS repo, sha256(concat('{"hashes": ["', string_agg(h, '", "' ORDER BY h), '"], "params": {"exclude_paths": [], "exclude_regex": []}}')) AS input_hash
-  FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source""")
+_PIECES = ", ':', ".join(f"sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS HUGEINT))" for i in range(4))
+
+
+@_query(f"SELECT source AS repo, sha256(concat(count(h), ':', {_PIECES})) AS input_hash FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
 def stage_input_hash(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.sha2("text", 256))).alias("hs"))
-    body = F.concat(F.lit('{"hashes": ["'), F.array_join("hs", '", "'), F.lit('"], "params": {"exclude_paths": [], "exclude_regex": []}}'))
-    return d.select(F.col("source").alias("repo"), F.sha2(body, 256).alias("input_hash"))
+    d = _t(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.sha2("text", 256).alias("h"))
+    return d.groupBy("repo").agg(text.set_digest(F.col("h")).alias("input_hash"))
 
 
 # ---- vectors and concepts
@@ -229,10 +227,14 @@ def _part_table(spark, sf_dir):
     )
 
 
-@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 0)")
+@_query("SELECT p_partkey AS symbol_id FROM part WHERE NOT (p_size % 2 = 0 AND p_partkey % 3 <> 0 AND p_partkey % 4 <> 0)")
 def anti_join_unembedded(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings").filter("label % 2 = 0").select(F.col("vec_id").alias("doc_id"))
-    return _t(spark, sf_dir, "documents").select("doc_id").join(e, "doc_id", "left_anti")
+    """Some have no embedding, some one of another model, some one of another content."""
+    p = _t(spark, sf_dir, "part")
+    symbols = p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("content_hash"))
+    model, was = F.when(F.col("p_partkey") % 3 == 0, "old").otherwise("new"), F.when(F.col("p_partkey") % 4 == 0, "changed").otherwise(F.col("p_brand"))
+    made = p.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("symbol_id"), was.alias("content_hash"), model.alias("model"))
+    return diff.to_embed(symbols, diff.reusable_embeddings(made, symbols, "new")).select("symbol_id")
 
 
 @_query(f"""SELECT DISTINCT CAST(m.p_size AS BIGINT) AS concept_id, s.p_name AS name, s.p_type AS file FROM ({_EDGE}) e JOIN part m ON m.p_partkey = e.dst JOIN part s ON s.p_partkey = e.src
@@ -279,12 +281,106 @@ def find_candidates(spark, sf_dir):
     return inspection.find_candidates("BRAND_1", _part_table(spark, sf_dir))
 
 
-@_query("SELECT o_orderkey AS src, o_custkey AS dst, 'call' AS kind FROM orders UNION SELECT l_orderkey, l_partkey, 'import' FROM lineitem UNION SELECT l_orderkey, l_suppkey, 'call' FROM lineitem")
+# Symbols of three languages, their import statements and index occurrences; the same expressions run in both engines.
+_LANGUAGE = "CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'go' END"
+_N = "CAST({} AS STRING)".format
+_CODE = {
+    "symbol_id": "p_partkey", "language": _LANGUAGE, "path": f"concat(p_brand, '/f', {_N('p_partkey % 6')})",
+    "name": f"CASE p_partkey % 3 WHEN 0 THEN concat('C', {_N('p_partkey % 300')}) WHEN 1 THEN concat('J', {_N('p_partkey % 301')}) ELSE concat('G', {_N('p_partkey % 299')}) END",
+    "qualified_name": f"""CASE p_partkey % 3 WHEN 0 THEN concat('m', {_N('p_size')}, '.C', {_N('p_partkey % 300')}) WHEN 1 THEN
+      CASE WHEN p_partkey % 5 = 1 THEN concat('J', {_N('p_partkey % 301')}) ELSE concat('com.p', {_N('p_size')}, '.J', {_N('p_partkey % 301')}) END ELSE concat('g', {_N('p_size')}, '.G', {_N('p_partkey % 299')}) END""",
+    "kind": "CASE p_partkey % 3 WHEN 0 THEN 'class' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'interface' END ELSE 'struct' END",
+    "signature": f"""CASE p_partkey % 3 WHEN 0 THEN concat('class X(C', {_N('(p_partkey * 7) % 200')}, ', m', {_N('p_size')}, '.C', {_N('(p_partkey * 3) % 50')}, ', object)')
+      WHEN 1 THEN concat('class X extends J', {_N('(p_partkey * 5) % 200')}, '<T> implements J', {_N('(p_partkey * 3) % 60')}, ', J', {_N('(p_partkey * 11) % 290')}) END""",
+    "start_line": "CAST(p_partkey % 1000 AS INT)", "end_line": "CAST(p_partkey % 1000 + p_size AS INT)",
+}
+_IMPORTS = {
+    "path": _CODE["path"], "language": _LANGUAGE,
+    "module": f"""CASE p_partkey % 3 WHEN 0 THEN concat('m', {_N('(p_size * 3) % 50 + 1')}) WHEN 1 THEN concat('com.p', {_N('(p_size * 3) % 50 + 1')}, '.J', {_N('(p_partkey * 13) % 301')}) ELSE concat('g', {_N('(p_size * 7) % 60')}) END""",
+    "name": f"CASE WHEN p_partkey % 12 IN (0, 3, 6) THEN concat('C', {_N('(p_partkey * 11) % 300')}) END",
+}
+_SEEN = {
+    "path": _CODE["path"], "roles": "CAST(p_partkey % 4 AS INT)", "line": "CASE WHEN p_partkey % 11 <> 0 THEN CAST((p_partkey * 17) % 1000 AS INT) END",
+    "symbol": f"CASE WHEN p_partkey % 13 = 0 THEN 'local 1' WHEN p_partkey % 17 = 0 THEN '' ELSE concat('scip-go go example.com/m v1 in/g', {_N('(p_size * 3) % 50 + 1')}, '/G', {_N('(p_partkey * 13) % 299')}, '#') END",
+}
+
+
+def _of_part(spark, sf_dir, columns: dict[str, str]) -> DataFrame:
+    return _t(spark, sf_dir, "part").selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
+
+def _occurrences(spark, sf_dir) -> DataFrame:
+    return _of_part(spark, sf_dir, _SEEN | {"language": _LANGUAGE}).filter("language = 'go'").drop("language")
+
+
+_from_part = lambda columns: "SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + " FROM part"
+_WITH = f"""WITH code AS ({_from_part(_CODE)}), imp AS ({_from_part(_IMPORTS)}),
+  q AS (SELECT language, qualified_name AS key, symbol_id AS dst FROM (SELECT *, row_number() OVER (PARTITION BY language, qualified_name ORDER BY path DESC, start_line DESC, end_line DESC, symbol_id DESC) AS n FROM code) WHERE n = 1),
+  sole AS (SELECT language, name AS key, min(symbol_id) AS dst FROM code GROUP BY ALL HAVING count(*) = 1),
+  src AS (SELECT language, path, symbol_id AS src FROM (SELECT *, row_number() OVER (PARTITION BY language, path ORDER BY start_line, end_line, symbol_id) AS n FROM code) WHERE n = 1),
+  bases AS (SELECT symbol_id AS src, language, unnest(CASE language WHEN 'java' THEN [concat('J', (symbol_id * 5) % 200), concat('J', (symbol_id * 3) % 60), concat('J', (symbol_id * 11) % 290)]
+    WHEN 'python' THEN [concat('C', (symbol_id * 7) % 200), regexp_extract(qualified_name, '^[^.]*') || concat('.C', (symbol_id * 3) % 50)] ELSE [] END) AS key FROM code),
+  inherit AS (SELECT b.language, b.src, coalesce(q.dst, (SELECT CASE WHEN count(*) = 1 THEN min(c.symbol_id) END FROM code c WHERE c.language = b.language AND c.name = b.key AND c.symbol_id <> b.src)) AS dst, 'inherit' AS kind
+    FROM bases b LEFT JOIN q ON q.language = b.language AND q.key = b.key),
+  named AS (SELECT imp.language, src.src, coalesce(q.dst, sole.dst) AS dst, 'import' AS kind FROM imp JOIN src ON src.language = imp.language AND src.path = imp.path
+    LEFT JOIN q ON q.language = imp.language AND q.key = CASE imp.language WHEN 'java' THEN imp.module ELSE concat(imp.module, '.', imp.name) END
+    LEFT JOIN sole ON sole.language = imp.language AND sole.key = CASE imp.language WHEN 'java' THEN regexp_extract(imp.module, '[^.]*$') ELSE imp.name END
+    WHERE imp.language = 'java' OR imp.language = 'python' AND imp.name IS NOT NULL),
+  below AS (SELECT language, regexp_extract(key, '^[^.]*') AS module, arg_min(dst, o) AS dst FROM (SELECT q.language, q.key, q.dst, (SELECT min((path, start_line, end_line, symbol_id)) FROM code c WHERE c.language = q.language AND c.qualified_name = q.key) AS o FROM q
+    WHERE q.language = 'python') GROUP BY ALL),
+  whole AS (SELECT imp.language, src.src, below.dst, 'import' AS kind FROM imp JOIN src ON src.language = imp.language AND src.path = imp.path JOIN below ON below.language = imp.language AND below.module = imp.module WHERE imp.name IS NULL),
+  packages AS (SELECT regexp_extract(qualified_name, '^[^.]*') AS module, arg_min(symbol_id, (path, start_line, end_line, symbol_id)) AS dst FROM code WHERE language = 'go' GROUP BY 1),
+  gone AS (SELECT 'go' AS language, src.src, packages.dst, 'import' AS kind FROM imp JOIN src ON src.language = imp.language AND src.path = imp.path JOIN packages ON packages.module = imp.module WHERE imp.language = 'go'),
+  seen AS (SELECT path, roles, line + 1 AS line, regexp_replace(regexp_extract(symbol, '[^/]*/[^/]*$'), '/(.*)#', '.\\1') AS key FROM ({_from_part(_SEEN | {"language": _LANGUAGE})}) WHERE language = 'go' AND symbol <> '' AND symbol NOT LIKE 'local %' AND roles % 2 = 0 AND line IS NOT NULL),
+  marks AS (SELECT path, start_line, max((end_line, symbol_id)) AS m FROM code WHERE language = 'go' GROUP BY ALL),
+  used AS (SELECT 'go' AS language, CASE WHEN m[1] >= line THEN m[2] END AS src, q.dst, CASE WHEN roles >= 2 THEN 'import' ELSE 'call' END AS kind FROM seen ASOF JOIN marks ON seen.path = marks.path AND seen.line >= marks.start_line
+    JOIN q ON q.language = 'go' AND q.key = seen.key)
+  SELECT DISTINCT src AS src_symbol_id, dst AS dst_symbol_id, kind FROM ({{}}) WHERE src <> dst AND {{}}"""
+
+
+@_query(_WITH.format("SELECT * FROM inherit", "language = 'java'"))
+def java_inheritance(spark, sf_dir):
+    return edges.java_inherit(_of_part(spark, sf_dir, _CODE)).distinct()
+
+
+@_query(_WITH.format("SELECT * FROM named UNION ALL SELECT * FROM whole", "language = 'python'"))
+def python_import_edges(spark, sf_dir):
+    return edges.python_imports(_of_part(spark, sf_dir, _IMPORTS), _of_part(spark, sf_dir, _CODE)).distinct()
+
+
+@_query(_WITH.format("SELECT * FROM named", "language = 'java'"))
+def java_import_edges(spark, sf_dir):
+    return edges.java_imports(_of_part(spark, sf_dir, _IMPORTS), _of_part(spark, sf_dir, _CODE)).distinct()
+
+
+@_query(_WITH.format("SELECT * FROM gone", "true"))
+def go_import_edges(spark, sf_dir):
+    return edges.go_imports(_of_part(spark, sf_dir, _IMPORTS), _of_part(spark, sf_dir, _CODE)).distinct()
+
+
+@_query(_WITH.format("SELECT * FROM used", "true"))
+def index_occurrence_edges(spark, sf_dir):
+    return edges.scip_edges(_occurrences(spark, sf_dir), _of_part(spark, sf_dir, _CODE), "go").distinct()
+
+
+@_query(_WITH.format("SELECT * FROM inherit UNION ALL SELECT * FROM named UNION ALL SELECT * FROM whole UNION ALL SELECT * FROM used", "true"))
 def edge_union_distinct(spark, sf_dir):
-    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
-    parts = [o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.lit("call").alias("kind"))]
-    parts += [li.select(F.col("l_orderkey").alias("src"), F.col(c).alias("dst"), F.lit(k).alias("kind")) for c, k in (("l_partkey", "import"), ("l_suppkey", "call"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).dropDuplicates(["src", "dst", "kind"])
+    """The whole graph: Go by its index's occurrences, the others by their import statements."""
+    return edges.resolve(_of_part(spark, sf_dir, _CODE), _of_part(spark, sf_dir, _IMPORTS), {"go": _occurrences(spark, sf_dir)})
+
+
+_ASKED_NAMES = ("Brand#13.cold widget", "Brand#5.small widget", "Brand#1.no such part")
+
+
+@_query(f"""WITH f AS (SELECT min(p_partkey) AS id, concat(p_brand, '.', p_name) AS symbol FROM part WHERE concat(p_brand, '.', p_name) IN {_ASKED_NAMES} GROUP BY 2)
+  SELECT symbol, p.p_type AS file, concat(p_size, '-', p_size + 3) AS lines, (SELECT least(20, count(DISTINCT src)) FROM ({_EDGE}) e JOIN part o ON o.p_partkey = e.src WHERE e.dst = f.id) AS callers,
+  (SELECT least(20, count(DISTINCT dst)) FROM ({_EDGE}) e JOIN part o ON o.p_partkey = e.dst WHERE e.src = f.id) AS callees FROM f JOIN part p ON p.p_partkey = f.id""")
+def inspect_symbols(spark, sf_dir):
+    s = _part_table(spark, sf_dir).withColumns({"end_line": F.col("start_line") + 3, "signature": F.lit(None).cast("string"), "docstring": F.lit(None).cast("string")})
+    concepts = spark.createDataFrame([], "concept_id long, name string, role string")
+    e = _line_edges(spark, sf_dir).select("src_symbol_id", "dst_symbol_id").distinct()
+    out = inspection.inspect_symbols(list(_ASKED_NAMES), s, e, concepts, spark.createDataFrame([], "concept_id long, symbol_id long"))
+    return out.select("symbol", "file", "lines", F.size("callers").cast("long").alias("callers"), F.size("callees").cast("long").alias("callees"))
 
 
 _CLASSES = """SELECT p_partkey AS id, concat('C', p_partkey % 1500) AS name, concat('m', p_size, '.C', p_partkey % 1500) AS qn, p_brand AS path,
@@ -367,12 +463,16 @@ def cascade_surviving_edges(spark, sf_dir):
     return diff.surviving_edges(_line_edges(spark, sf_dir), alive)
 
 
-@_query("""WITH prev AS (SELECT sha256(p_brand) AS h, concat('name of ', max(p_brand)) AS name FROM part WHERE p_size % 2 = 0 GROUP BY 1), cur AS (SELECT p_partkey, sha256(CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE p_brand END) AS h FROM part)
-  SELECT p_partkey AS concept_id, name FROM cur LEFT JOIN prev USING (h)""")
+@_query("""WITH c AS (SELECT label, count(*) AS member_count, sha256(string_agg(sha256(CAST(vec_id AS VARCHAR)), '' ORDER BY sha256(CAST(vec_id AS VARCHAR)))) AS member_hash FROM embeddings GROUP BY label)
+  SELECT CAST(label % 3 AS VARCHAR) AS package, CAST(member_count AS INTEGER) AS member_count, member_hash, CASE WHEN label % 2 = 0 THEN concat('name of ', label) END AS name, CASE WHEN label % 2 = 0 THEN 'interface' END AS role FROM c""")
 def label_reuse_by_member_hash(spark, sf_dir):
-    p = _t(spark, sf_dir, "part")
-    prev = p.filter("p_size % 2 = 0").groupBy(F.sha2("p_brand", 256).alias("h")).agg(F.concat(F.lit("name of "), F.max("p_brand")).alias("name"))
-    return p.select(F.col("p_partkey").alias("concept_id"), F.sha2(F.when(F.col("p_partkey") % 4 == 0, F.col("p_type")).otherwise(F.col("p_brand")), 256).alias("h")).join(prev, "h", "left").select("concept_id", "name")
+    """Every second concept of a run before had a name; a concept of the same members takes it over."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("symbol_id"), (F.col("label") % 3).cast("string").alias("package"), "label", "embedding", F.sha2(F.col("vec_id").cast("string"), 256).alias("content_hash"))
+    old = e.groupBy("label").agg(text.member_hash(F.col("content_hash")).alias("member_hash"))
+    name = F.when(F.col("label") % 2 == 0, F.concat(F.lit("name of "), F.col("label").cast("string")))
+    old = old.select(F.col("label").cast("long").alias("concept_id"), "member_hash", name.alias("name"), F.lit("kept").alias("description"), F.lit("interface").alias("role"))
+    concepts, _ = cluster.build_concepts(e.select("symbol_id", "package", "label"), e, e, old)
+    return concepts.select("package", "member_count", "member_hash", "name", "role")
 
 
 # ---- names, signatures, replies
@@ -448,11 +548,10 @@ def rerank_parse_score(spark, sf_dir):
     return _t(spark, sf_dir, "part").select(k.alias("id"), text.parsed_score(reply, F.lit(-1.0)).alias("score"))
 
 
-@_query("""SELECT l_partkey AS concept_id, max(l_discount) AS score, CAST(arg_max(l_linenumber, l_discount * 100 - l_linenumber / 1000.0 - l_orderkey / 1e12) AS INTEGER) AS iteration FROM lineitem GROUP BY l_partkey""")
+@_query("""SELECT l_partkey AS concept_id, max(l_discount) AS score, CAST(arg_max(l_linenumber, (l_discount, -l_linenumber)) AS INTEGER) AS iteration FROM lineitem GROUP BY l_partkey""")
 def agentic_max_merge(spark, sf_dir):
-    """The best score of each concept over iterations, the earlier one of equals."""
-    best = F.max_by(F.struct("l_discount", "l_linenumber"), F.struct("l_discount", -F.col("l_linenumber"), -F.col("l_orderkey")))
-    return _t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("concept_id")).agg(best.alias("b")).select("concept_id", F.col("b.l_discount").alias("score"), F.col("b.l_linenumber").alias("iteration"))
+    found = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("concept_id"), F.col("l_linenumber").alias("step")).agg(F.max("l_discount").alias("score"))
+    return search.merge_best(found).select("concept_id", "score", F.col("step").cast("int").alias("iteration"))
 
 
 _CASES = f"""SELECT label, (SELECT list(CAST(vec_id AS VARCHAR) ORDER BY vec_id) FROM embeddings x WHERE x.label = m.label AND vec_id % 3 = 0) AS expected, list(CAST(vec_id AS VARCHAR) ORDER BY d, vec_id) AS got FROM ({_MEMBERS}) m GROUP BY label"""
@@ -481,7 +580,7 @@ def macro_recall(spark, sf_dir):
 @_query("SELECT CASE WHEN (l_linenumber & 2) <> 0 THEN 'import' ELSE 'call' END AS kind, count(*) AS edges FROM lineitem WHERE (l_linenumber & 1) = 0 GROUP BY 1")
 def role_flags_bitmask(spark, sf_dir):
     roles = F.col("l_linenumber")
-    rows = _t(spark, sf_dir, "lineitem").filter(roles.bitwiseAND(1) == 0).select(F.when(roles.bitwiseAND(2) != 0, "import").otherwise("call").alias("kind"))
+    rows = _t(spark, sf_dir, "lineitem").filter(edges.is_use(roles)).select(edges.role_kind(roles).alias("kind"))
     return rows.groupBy("kind").agg(F.count("*").alias("edges"))
 
 
@@ -500,44 +599,62 @@ def display_fields(spark, sf_dir):
     )
 
 
-@_query("SELECT source AS package, count(*) AS symbols, count(DISTINCT lang) AS languages, CAST(sum(n_chars) AS BIGINT) AS size_bytes FROM documents GROUP BY source")
+@_query("SELECT source, count(*) AS concepts, count(CASE WHEN doc_id % 3 = 0 THEN 1 END) AS reused, count(DISTINCT lang) AS packages FROM documents GROUP BY source")
 def index_counters(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy(F.col("source").alias("package")).agg(F.count("*").alias("symbols"), F.countDistinct("lang").alias("languages"), F.sum("n_chars").alias("size_bytes"))
+    concepts = _t(spark, sf_dir, "documents").select("source", F.when(F.col("doc_id") % 3 == 0, "known").alias("name"), F.col("lang").alias("package"))
+    return concepts.groupBy("source").agg(*cluster.counters())
 
 
-@_query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS chats, max(turn) AS last FROM conversations GROUP BY role")
-def chat_turns(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("chats"), F.max("turn").alias("last"))
+# ---- table functions
 
 
-# ---- table functions
+#: A source file in each language (@: the part's number, ~: its name), and its symbols: name, qualified name (^: the file's module), kind, signature, lines, whether documented.
+_BODIES = {
+    "python": "class C@(Base):\n    '''~'''\n    def run(self, x):\n        return x\n\ndef free@(a, *, b=1) -> int:\n    return a\n",
+    "go": "package p\n\n// ~\ntype T@ struct {\n\tx int\n}\n\nfunc (t *T@) Run(x int) int { return x }\n\ntype I@ interface {\n\tRun(x int) int\n}\n",
+    "java": "package p;\n/** ~ */\nclass J@ extends Base {\n  J@(int y) {}\n  int run(int x) { return x; }\n}\nenum E@ { A, B }\n",
+    "kotlin": "package p\n/** ~ */\nclass K@(val x: Int) : Base() {\n  fun run(y: Int): Int = y\n}\nobject O@\n",
+    "gleam": "/// ~\npub fn run@(x: Int) -> Int {\n  x\n}\npub type T@ {\n  A\n}\n",
+    "erlang": "-module(m).\n%% ~\nrun@(X) -> X.\n-record(r@, {a}).\n",
+}
+_FOUND = {
+    "python": [("C@", "^.C@", "class", "class C@(Base)", 1, 4, 1), ("run", "^.C@.run", "method", "def run(self, x)", 3, 4, 0), ("free@", "^.free@", "function", "def free@(a, *, b=1)", 6, 7, 0)],
+    "go": [("T@", "p.T@", "struct", "type T@ struct", 4, 6, 1), ("Run", "p.T@.Run", "method", "func (t *T@) Run(x int)", 8, 8, 0), ("I@", "p.I@", "interface", "type I@ interface", 10, 12, 0)],
+    "java": [
+        ("J@", "p.J@", "class", "class J@ extends Base", 3, 6, 1), ("J@", "p.J@.J@", "constructor", "J@(int y)", 4, 4, 0), ("run", "p.J@.run", "method", "int run(int x)", 5, 5, 0),
+        ("E@", "p.E@", "enum", "enum E@", 7, 7, 0), ("A", "p.E@.A", "enum_constant", "A", 7, 7, 0), ("B", "p.E@.B", "enum_constant", "B", 7, 7, 0),
+    ],
+    "kotlin": [("K@", "p.K@", "class", "class K@(val x: Int) : Base()", 3, 5, 1), ("run", "p.K@.run", "method", "fun run(y: Int): Int", 4, 4, 0), ("O@", "p.O@", "class", "object O@", 6, 6, 0)],
+    "gleam": [("run@", "^.run@", "function", "pub fn run@(x: Int) -> Int", 2, 4, 1), ("T@", "^.T@", "enum", "pub type T@", 5, 7, 0)],
+    "erlang": [("run@", "^.run@", "function", "run@(X)", 3, 3, 1), ("r@", "^.r@", "record", "-record(r@, ...)", 4, 4, 0)],
+}
 
 
 def _sources(spark, sf_dir):
     """A source file for each part, in the six languages."""
     p = _t(spark, sf_dir, "part")
     n = F.col("p_partkey").cast("string")
-    bodies = {
-        "python": F.concat(F.lit("class C"), n, F.lit("(Base):\n    '''"), "p_name", F.lit("'''\n    def run(self, x):\n        return x\n")),
-        "go": F.concat(F.lit("package p\n\n// "), "p_name", F.lit("\ntype T"), n, F.lit(" struct {\n\tx int\n}\n\nfunc (t *T"), n, F.lit(") Run(x int) int { return x }\n")),
-        "java": F.concat(F.lit("package p;\n/** "), "p_name", F.lit(" */\nclass J"), n, F.lit(" extends Base {\n  int run(int x) { return x; }\n}\n")),
-        "kotlin": F.concat(F.lit("package p\nclass K"), n, F.lit("(val x: Int) : Base() {\n  fun run(y: Int): Int = y\n}\n")),
-        "gleam": F.concat(F.lit("pub fn run"), n, F.lit("(x: Int) -> Int {\n  x\n}\n")),
-        "erlang": F.concat(F.lit("-module(m).\nrun"), n, F.lit("(X) -> X.\n")),
-    }
+    at = lambda template: F.concat(*[x for i, t in enumerate(template.split("@")) for x in ((n, F.lit(t)) if i else (F.lit(t),))])
+    bodies = {k: F.replace(at(v), F.lit("~"), F.col("p_name")) for k, v in _BODIES.items()}
     languages = list(bodies)
     language = F.element_at(F.lit(languages), (F.col("p_partkey") % len(languages) + 1).cast("int"))
     content = F.coalesce(*[F.when(language == k, v) for k, v in bodies.items()]).cast("binary")
     return p.select(F.xxhash64("p_partkey").alias("file_id"), F.concat(F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit("/f"), n).alias("path"), language.alias("language"), content.alias("content"))
 
 
-@_query("""SELECT language, kind, count(*) AS symbols FROM (SELECT unnest(CASE p_partkey % 6 WHEN 0 THEN ['python/class', 'python/method'] WHEN 1 THEN ['go/struct', 'go/method'] WHEN 2 THEN ['java/class', 'java/method']
-  WHEN 3 THEN ['kotlin/class', 'kotlin/method'] WHEN 4 THEN ['gleam/function'] ELSE ['erlang/function'] END) AS x FROM part), LATERAL (SELECT string_split(x, '/')[1] AS language, string_split(x, '/')[2] AS kind) GROUP BY ALL""")
+_FOUND_SQL = ", ".join(f"('{lang}', {i}, '{name}', '{qn}', '{kind}', '{sig}', {lo}, {hi}, {doc})" for i, (lang, rows) in enumerate(_FOUND.items()) for name, qn, kind, sig, lo, hi, doc in rows)
+
+
+@_query(f"""SELECT path, language, replace(name, '@', n) AS name, replace(replace(qn, '@', n), '^', replace(path, '/', '.')) AS qualified_name, kind, replace(sig, '@', n) AS signature, lo AS start_line, hi AS end_line,
+  CASE WHEN doc = 1 THEN p_name END AS docstring FROM (SELECT *, CAST(p_partkey AS VARCHAR) AS n, concat(regexp_replace(p_brand, '[^A-Za-z0-9]', ''), '/f', p_partkey) AS path FROM part)
+  JOIN (VALUES {_FOUND_SQL}) AS t(language, nth, name, qn, kind, sig, lo, hi, doc) ON p_partkey % 6 = nth""")
 def extract_symbols(spark, sf_dir):
-    return extract.extract_symbols(_sources(spark, sf_dir)).groupBy("language", "kind").agg(F.count("*").alias("symbols"))
+    return extract.extract_symbols(_sources(spark, sf_dir)).select("path", "language", "name", "qualified_name", "kind", "signature", "start_line", "end_line", "docstring")
 
 
-@_query()
+@_query("""SELECT concat(regexp_replace(p_brand, '[^A-Za-z0-9]', ''), '/f', p_partkey) AS path,
+  concat('class C', p_partkey, '(Base):', chr(10), '    ''''''', p_name, '''''''', chr(10), '    def run(self, x):', chr(10), '        ...', chr(10), chr(10), 'def free', p_partkey, '(a, *, b=1) -> int:', chr(10), '    return a') AS skeleton
+  FROM part WHERE p_partkey % 6 = 0""")
 def class_skeletons(spark, sf_dir):
     @F.pandas_udf("string")
     def bare(source):

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema, telemetry
-from ..functions.text import symbol_text
+from ..functions.text import set_digest, symbol_text
 from ..functions.vectors import HashedTrigrams, encode
 from ..operators import cluster, diff, edges, enrich, extract
 from ..operators.search import Searcher
@@ -33,6 +34,9 @@ class Options:
     workers: int = 1
     scip: dict[str, str] = field(default_factory=dict)  # language -> index file
     target_size: int = cluster.TARGET_SIZE
+    noise_strategy: str = "singleton"  # stored with the concepts; every symbol belongs to a cluster
+    grouped_imports: bool = False  # Go imports in parentheses give edges too
+    label_batch: int = 200  # concepts labelled between two commits
 
 
 class Index:
@@ -47,13 +51,15 @@ class Index:
         store = self.store
         scanned = repo.scan_repo(self.spark, o.repo, o.exclude_paths, o.exclude_patterns)
         old_files, old_symbols = store.read("files"), store.read("symbols")
-        changes = diff.file_changes(old_files, scanned.select("path", "content_hash"))
+        stay = diff.still_there(old_files, scanned, repo.list_repo(self.spark, o.repo, o.exclude_paths, o.exclude_patterns))
+        now = scanned.select(*old_files.columns).unionByName(stay)
+        changes = diff.file_changes(old_files, now)
         counts = {r.action: r["count"] for r in changes.groupBy("action").count().collect()}
         processed = counts.get(diff.INSERT, 0) + counts.get(diff.REPLACE, 0)
         if processed or counts.get(diff.DELETE, 0):
             renewed = scanned.join(changes.filter(F.col("action").isin(diff.INSERT, diff.REPLACE)).select("path"), "path", "left_semi")
             symbols = store.write("symbols", diff.merge_symbols(old_symbols, extract.extract_symbols(renewed), changes))
-            store.write("files", scanned.select("file_id", "path", "language", "content_hash", "size_bytes"))
+            store.write("files", now)
             for table, key in (("symbol_embeddings", "symbol_id"), ("concept_members", "symbol_id")):
                 store.write(table, diff.surviving(store.read(table), key, symbols))
             store.write("references", diff.surviving_edges(store.read("references"), symbols))
@@ -64,8 +70,13 @@ class Index:
         if symbols.isEmpty():
             raise RuntimeError("nothing to index: run parse first")
         files = repo.scan_repo(self.spark, o.repo, o.exclude_paths, o.exclude_patterns) if o.repo else None
-        imports = extract.extract_imports(files) if files is not None else None
-        indexes = {lang: scip.read_occurrences(self.spark, path) for lang, path in o.scip.items()}
+        imports = extract.extract_imports(files, o.grouped_imports) if files is not None else None
+        indexes = {}
+        for lang, path in o.scip.items():
+            if o.repo and not repo.has_build_file(self.spark, o.repo, lang):
+                telemetry.warning("no build file: imports are used, not the index", language=lang)
+            else:
+                indexes[lang] = scip.read_occurrences(self.spark, path)
         return {"edges": self.store.write("references", edges.resolve(symbols, imports, indexes)).count()}
 
     def docgen(self, o: Options) -> dict:
@@ -78,7 +89,7 @@ class Index:
     def embed(self, o: Options) -> dict:
         symbols, old = self.store.read("symbols"), self.store.read("symbol_embeddings")
         kept = diff.reusable_embeddings(old, symbols, o.encoder.name)
-        new = symbols.join(kept.select("symbol_id"), "symbol_id", "left_anti")
+        new = diff.to_embed(symbols, kept)
         text = symbol_text(F.col("qualified_name"), F.col("name"), F.col("signature"), F.col("docstring"))
         fresh = encode(new.withColumn("text", text), "text", o.encoder).select("symbol_id", "content_hash", F.lit(o.encoder.name).alias("model"), "embedding")
         table = self.store.write("symbol_embeddings", kept.unionByName(fresh))
@@ -97,15 +108,19 @@ class Index:
         concepts = self.store.write("concepts", concepts)
         self.store.write("concept_members", fresh)
         self.store.write("concept_embeddings", self.spark.createDataFrame([], schema.CONCEPT_EMBEDDINGS))
-        self.store.put_config({"cluster_target_size": o.target_size})
-        r = concepts.agg(F.count("*").alias("n"), F.count("name").alias("named"), F.countDistinct("package").alias("packages")).first()
-        return {"concepts": r.n, "reused": r.named, "packages": r.packages}
+        self.store.put_config({"cluster_target_size": o.target_size, "cluster_min_size": o.target_size, "noise_strategy": o.noise_strategy})
+        return concepts.agg(*cluster.counters()).first().asDict()
 
     def label(self, o: Options) -> dict:
         if o.backend is None:
             raise ValueError("labels need a backend")
-        done = enrich.label_concepts(self.store.read("concepts"), self.store.read("concept_members"), self.store.read("symbols"), o.backend, o.workers)
-        return {"unlabeled": self.store.write("concepts", done).filter("name is null").count()}
+        """In batches, each committed on its own: a failure costs the replies of one batch."""
+        read = self.store.read
+        steps = -(-read("concepts").filter("name is null").count() // o.label_batch)
+        for i in range(steps):
+            chosen = F.pmod(F.xxhash64("concept_id", F.lit(3)), F.lit(steps)) == i
+            self.store.write("concepts", enrich.label_concepts(read("concepts"), read("concept_members"), read("symbols"), o.backend, o.workers, chosen))
+        return {"unlabeled": read("concepts").filter("name is null").count()}
 
     def embed_concepts(self, o: Options) -> dict:
         concepts, old = self.store.read("concepts"), self.store.read("concept_embeddings")
@@ -117,9 +132,10 @@ class Index:
     # orchestration
 
     def input_hash(self, o: Options) -> str:
-        hashes = sorted(r.content_hash for r in self.store.read("files").select("content_hash").collect())
+        """Of the files' contents, which are summed up where they lie, and the parameters."""
+        files = self.store.read("files").agg(set_digest(F.col("content_hash"))).first()[0]
         params = {"exclude_paths": sorted(o.exclude_paths), "exclude_regex": sorted(o.exclude_patterns)}
-        return hashlib.sha256(json.dumps({"hashes": hashes, "params": params}, sort_keys=True).encode()).hexdigest()
+        return hashlib.sha256(json.dumps({"files": files, "params": params}, sort_keys=True).encode()).hexdigest()
 
     def _mark(self, stage: str, status: str, input_hash: str, params: dict) -> None:
         old = self.store.read("pipeline_runs").filter(F.col("stage") != stage)
@@ -135,7 +151,8 @@ class Index:
             return "cached"
         self._mark(stage, "running", key, {})
         try:
-            result = getattr(self, stage)(o)
+            with nullcontext() if stage == "label" else self.store.transaction():
+                result = getattr(self, stage)(o)
         except ImportError as e:
             self._mark(stage, "skipped", key, {"reason": str(e)})
             return "skipped"

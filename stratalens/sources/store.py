@@ -1,53 +1,110 @@
-"""Index tables as Parquet folders; a table is written beside the old one and swapped in."""
+"""Index tables as Parquet folders.
+
+Every write makes a new folder; one small pointer file says which folder each table
+is, and is replaced in one step.  Readers see the old tables or the new ones, and a
+crash leaves the old ones in place.  Folders that the last but one commit replaced are removed.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema
 
+POINTER = "_tables.json"
+
 
 class TableStore:
     """Named tables under one folder of any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._pending: dict[str, str] | None = None
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        return self._path(POINTER).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _pointer(self) -> dict:
+        fs, path = self._fs(), self._path(POINTER)
+        if not fs.exists(path):
+            return {"tables": {}, "replaced": []}
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+
+    def _tables(self) -> dict[str, str]:
+        return self._pointer()["tables"] | (self._pending or {})
+
+    def _commit(self, fresh: Mapping[str, str]) -> None:
+        jvm, fs = self.spark.sparkContext._jvm, self._fs()
+        old = self._pointer()
+        new = {"tables": old["tables"] | dict(fresh), "replaced": [old["tables"][n] for n in fresh if n in old["tables"]]}
+        draft = self._path(f".{POINTER}-{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
+        out.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(draft), fs.makeQualified(self._path(POINTER)), how)
+        for folder in old["replaced"]:
+            fs.delete(self._path(folder), True)
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Writes inside become visible to others together at its end, or not at all."""
+        if self._pending is not None:
+            yield
+            return
+        self._pending = {}
+        try:
+            yield
+            if self._pending:
+                self._commit(self._pending)
+        except BaseException:
+            for folder in self._pending.values():
+                self._fs().delete(self._path(folder), True)
+            raise
+        finally:
+            self._pending = None
 
     def exists(self, name: str) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path(f"{self._path(name)}/_SUCCESS"))
+        return name in self._tables()
 
     def read(self, name: str) -> DataFrame:
         """The table; an empty one if it was never written."""
         kind = schema.TABLES.get(name)
-        if not self.exists(name):
+        folder = self._tables().get(name)
+        if folder is None:
             if kind is None:
                 raise KeyError(name)
             return self.spark.createDataFrame([], kind)
         reader = self.spark.read.schema(kind) if kind else self.spark.read
-        return reader.parquet(self._path(name))
+        return reader.parquet(f"{self.root}/{folder}")
 
     def write(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Replaces the table; df may be derived from its old content."""
-        fs, path = self._fs()
-        fresh = f"{self.root}/.{name}-{uuid.uuid4().hex}"
+        folder = f"{name}-{uuid.uuid4().hex}"
         writer = schema.checked(df, name).write
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(fresh)
-        fs.delete(path(self._path(name)), True)
-        if not fs.rename(path(fresh), path(self._path(name))):
-            raise OSError(f"could not swap in {name}")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{folder}")
+        if self._pending is None:
+            self._commit({name: folder})
+        else:
+            dropped = self._pending.get(name)
+            self._pending[name] = folder
+            if dropped:
+                self._fs().delete(self._path(dropped), True)
         return self.read(name)
 
     def config(self) -> dict[str, object]:

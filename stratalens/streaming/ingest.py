@@ -23,9 +23,16 @@ def upsert(store: TableStore, batch: DataFrame) -> None:
     after = kept.select("path", "content_hash").unionByName(files.select("path", "content_hash"))
     changes = diff.file_changes(old_files, after)
     renewed = files.join(changes.filter(F.col("action").isin(diff.INSERT, diff.REPLACE)).select("path"), "path", "left_semi")
-    symbols = store.write("symbols", diff.merge_symbols(old_symbols, extract.extract_symbols(renewed), changes))
-    store.write("files", kept.unionByName(files.select(*kept.columns)))
-    store.write("references", diff.surviving_edges(store.read("references"), symbols))
+    if renewed.isEmpty():
+        return
+    with store.transaction():
+        symbols = store.write("symbols", diff.merge_symbols(old_symbols, extract.extract_symbols(renewed), changes))
+        store.write("files", kept.unionByName(files.select(*kept.columns)))
+        for table, key in (("symbol_embeddings", "symbol_id"), ("concept_members", "symbol_id")):
+            if store.exists(table):
+                store.write(table, diff.surviving(store.read(table), key, symbols))
+        if store.exists("references"):
+            store.write("references", diff.surviving_edges(store.read("references"), symbols))
 
 
 def start(spark: SparkSession, landing: str, store: TableStore, checkpoint: str, once: bool = False) -> StreamingQuery:
