@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,12 +25,44 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables written and not yet removed, with their sessions.
+_written: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts
-    lineage, and a lost executor costs no more than the tasks it was running."""
+    lineage, and a lost executor costs no more than the tasks it was running.
+
+    The table stays until it is dropped, or the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/strata-{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop_all)
+    _written[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._strata_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that materialize wrote and that nothing will read again."""
+    for t in tables:
+        _remove(getattr(t, "_strata_path", None))
+
+
+def _remove(path: str | None) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _drop_all() -> None:
+    for path in list(_written):
+        try:
+            _remove(path)
+        except Exception:  # noqa: BLE001 - the session may be gone; its cluster's cleaner has the folder then
+            _written.pop(path, None)
 
 
 #: A key with more than one in SHARE of all rows, and more than SPLIT, is hot; there can't be more than SHARE of those.

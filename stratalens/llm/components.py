@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import join_keys, materialize
+from ._store import drop, join_keys, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(edges):
             break
-        edges = materialize(_star(materialize(_star(edges, True), "edges"), False), "edges")
+        half = materialize(_star(edges, True), "edges")
+        drop(edges)
+        edges = materialize(_star(half, False), "edges")
+        drop(half)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -15,16 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ._store import join_keys, materialize
+from ._store import drop, join_keys, materialize
 from ._text import LOWER, U, Block, as_long, blocks, give_back, mix, run_hashes, word_names
 from .components import connected_components
 
 M, ROWS, A, BASE, Q = 128, 4, 20.0, 1.001, 32765
 #: Members verified together with a leader; nodes of a block; most ids that are broadcast.
 GROUP, BLOCK, BROADCAST_IDS = 500, 256, 500_000
+#: Turns of other leaders, and from how many pairs for each row, and in all, one is worth its while.
+MOST_TURNS, CROWDED, LEAST_PAIRS = 6, 30, 2_000_000
+#: Nodes of the sample that looks for large buckets, and the share of it (one in so many) that makes one.
+LOOKED_AT, FREQUENT = 20_000, 1_000
 _MUL = mix(np.arange(1, M + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1001, M + 1001, dtype=U))
 
@@ -141,7 +146,8 @@ def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             own1, own2, at = shingles(block, k)
-            blobs = [own1[a:b].tobytes() + own2[a:b].tobytes() for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
+            half = (own2 >> U(32)).astype(np.uint32)
+            blobs = [own1[a:b].tobytes() + half[a:b].tobytes() for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(blobs, pa.binary())], ["node", "items"])
         give_back()
 
@@ -220,24 +226,28 @@ def _likely_rest(rest: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return rows.groupBy(F.pmod("g", F.lit(lots)).alias("lot")).applyInArrow(_likely_within(threshold), "g long, a long, b long")
 
 
-def common(x: np.ndarray, y: np.ndarray) -> int:
-    """Size of the intersection of two sets, each (2, n): lanes of 128-bit names, ascending by the first."""
-    if x.shape[1] > y.shape[1]:
+def common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """Size of the intersection of two sets of 96-bit names, given as two columns ascending by the first."""
+    if len(x[0]) > len(y[0]):
         x, y = y, x
-    if not x.shape[1]:
+    if not len(x[0]):
         return 0
-    where = np.minimum(np.searchsorted(y[0], x[0]), y.shape[1] - 1)
+    where = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
     met = y[0][where] == x[0]
     same = int((met & (y[1][where] == x[1])).sum())
     if same == int(met.sum()) and (x[0][1:] != x[0][:-1]).all():
         return same
-    return len(set(zip(*x.tolist(), strict=True)) & set(zip(*y.tolist(), strict=True)))
+    return len(set(zip(*[c.tolist() for c in x], strict=True)) & set(zip(*[c.tolist() for c in y], strict=True)))
 
 
 def _check(percent: int):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         """The pairs whose full sets are similar enough."""
-        items = [np.frombuffer(x.as_py(), U).reshape(2, -1) for x in sets.column("items")]
+        items = []
+        for x in sets.column("items"):
+            raw = x.as_py()
+            n = len(raw) // 12
+            items.append((np.frombuffer(raw, U, n), np.frombuffer(raw, np.uint32, n, 8 * n)))
         at: dict[int, list[int]] = {}
         for i, name in enumerate(sets.column("node").to_pylist()):
             at.setdefault(name, []).append(i)
@@ -245,7 +255,7 @@ def _check(percent: int):
         for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
             for p in at[a]:
                 for q in at[b]:
-                    n, m = items[p].shape[1], items[q].shape[1]
+                    n, m = len(items[p][0]), len(items[q][0])
                     if not keep[i] and min(n, m) * 100 >= percent * max(n, m):
                         inter = common(items[p], items[q])
                         keep[i] = 100 * inter >= percent * (n + m - inter)
@@ -266,18 +276,84 @@ def _verified(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     lot = F.pmod("g", F.lit(lots)).alias("lot")
     own = member.select(lot, "node").distinct().join(sets, "node").select("lot", "node", "items")
     pairs = likely.select(lot, "a", "b").distinct()
-    return pairs.groupBy("lot").cogroup(own.groupBy("lot")).applyInArrow(_check(percent), "a long, b long").distinct()
+    links = materialize(pairs.groupBy("lot").cogroup(own.groupBy("lot")).applyInArrow(_check(percent), "a long, b long").distinct(), "links")
+    drop(likely, member, sets)
+    return links
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: near-duplicate classes of documents.
+def _frequent_keys(member: DataFrame, n: int) -> DataFrame | None:
+    """Keys of buckets that look large in a sample of about LOOKED_AT nodes, at most some ten thousand.
+
+    The sample only chooses the way that their rows go."""
+    least = max(16, min(n, LOOKED_AT) // FREQUENT)
+    near = (F.xxhash64("node", F.lit(17)).cast("double") / 2.0**64 + 0.5) * n < LOOKED_AT
+    found = member.filter(near).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("key").collect()
+    return member.sparkSession.createDataFrame(found, "key long") if found else None
+
+
+def _with_extremes(rows: DataFrame, hot: DataFrame | None, value: Column) -> DataFrame:
+    """rows with the least and greatest value of their key, lo and hi: one exchange, but for hot keys, whose
+    extremes are combined before it and sent to where their rows lie."""
+    ends = {"lo": F.min(value), "hi": F.max(value)}
+    same = Window.partitionBy("key")
+    over = lambda x: x.withColumns({c: e.over(same) for c, e in ends.items()})
+    if hot is None:
+        return over(rows)
+    few = F.broadcast(hot)
+    warm = rows.join(few, "key", "left_semi")
+    known = warm.groupBy("key").agg(*[e.alias(c) for c, e in ends.items()])
+    return over(rows.join(few, "key", "left_anti")).unionByName(warm.join(F.broadcast(known), "key"))
+
+
+def _unsettled(shared: DataFrame, comp: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """key, band, node, c: rows of buckets whose members lie in different components."""
+    placed = shared.join(comp, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("c"))
+    return _with_extremes(placed, hot, F.col("c")).filter("lo <> hi").drop("lo", "hi")
+
+
+def _crowded(rest: DataFrame) -> bool:
+    """Whether comparing all pairs of different components in the buckets is much more than going through their rows."""
+    sizes = rest.groupBy("key", "c").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    r = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+    return r.rows is not None and r.pairs > max(CROWDED * r.rows, LEAST_PAIRS)
+
+
+def _merged(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links: only those that the links touch are worked on."""
+    ends = more.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    over = materialize(connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "components")
+    own = over.select(F.col("node").alias("component"), F.col("component").alias("over"))
+    lone = over.join(comp, "node", "left_anti")
+    out = materialize(comp.join(own, "component", "left").select("node", F.coalesce("over", "component").alias("component")).unionByName(lone), "components")
+    drop(over, comp)
+    return out
+
+
+def with_set_names(docs: DataFrame, k: int) -> DataFrame:
+    """docs (all columns) with the 128-bit name of each row's shingle set, set_name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            own1, own2, at = shingles(block, k)
+            both = np.stack([mix(_row_sums(own1, at)), mix(_row_sums(own2, at))], 1)
+            names = pa.array([x.tobytes() for x in both], pa.binary())
+            yield block.batch.slice(block.lo, block.rows).append_column("set_name", names)
+        give_back()
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("set_name", BinaryType())]))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, named: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: near-duplicate classes of documents
+    (and h1, h2, the two halves of each row's set_name, if ``named``).
 
     Sets are distinct k-word shingles; documents link when
     ``100 * intersection >= percent * union``.  Equal sets are collapsed to
     their smallest doc_id first; each bucket of a band then links its members
     to its smallest one, and after components are known only members of
     different components in a bucket are compared, so that groups of copies
-    never expand into all their pairs.
+    never expand into all their pairs.  Where that would still be very many, other
+    members lead their buckets in up to MOST_TURNS turns first, which leaves few components.
 
     Null or empty text, or text without words: an empty set, linked with
     nothing, kept.  Null doc_id: the row is returned with a null component and
@@ -293,28 +369,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     bands = F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda b: F.xxhash64(b, F.slice("regs", b * ROWS + 1, ROWS)))
     member = nodes.select("node", F.posexplode(bands).alias("band", "key"))
-    lead = member.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a <> z")
-    lead = materialize(lead.select("key", "a", "n"), "leaders")
-    shared = materialize(join_keys(member, lead.select("key", "a"), "key", lead), "buckets")
+    hot = _frequent_keys(member, nodes.count())
+    led = _with_extremes(member, hot, F.col("node")).filter("lo <> hi")
+    shared = materialize(led.select("key", "band", "node", F.col("lo").alias("a")), "buckets")
     stars = materialize(shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
-    links = materialize(_verified(_likely_stars(stars, nodes, percent / 100), docs, k, percent), "links")
+    links = _verified(_likely_stars(stars, nodes, percent / 100), docs, k, percent)
+    drop(stars)
     comp = materialize(connected_components(links), "components")
+    drop(links)
+    for turn in range(MOST_TURNS + 1):
+        rest = materialize(_unsettled(shared, comp, hot), "rest")
+        last = turn == MOST_TURNS or not _crowded(rest)
+        if last:
+            likely = _likely_rest(rest, nodes, percent / 100)
+        else:
+            # in large buckets of many components others lead in turn, the same ones in a group's buckets
+            lead = F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(turn)))
+            lead = rest.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.node").alias("x"), F.col("l.c").alias("cx"))
+            pairs = join_keys(rest, lead, "key").filter("c <> cx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+            likely = _likely_stars(materialize(pairs, "stars"), nodes, percent / 100)
+        more = _verified(likely, docs, k, percent)
+        found = not more.isEmpty()
+        if found:
+            comp = _merged(comp, more)
+        drop(rest, more)
+        if last:
+            break
+    drop(shared, nodes)
 
-    placed = shared.join(comp, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    rest = materialize(placed.join(split, "key", "left_semi"), "rest")
-    more = materialize(_verified(_likely_rest(rest, nodes, percent / 100), docs, k, percent), "links")
-    if not more.isEmpty():
-        # components of components
-        ends = more.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        over = materialize(connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "components")
-        own = over.select(F.col("node").alias("component"), F.col("component").alias("over"))
-        lone = over.join(comp, "node", "left_anti")
-        comp = materialize(comp.join(own, "component", "left").select("node", F.coalesce("over", "component").alias("component")).unionByName(lone), "components")
-
-    named = reps.join(comp, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    found = all_rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
+    classes = reps.join(comp, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    found = all_rows.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     cid = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce(own, F.col("doc_id")))
-    out = found.select("doc_id", "n_shingles", cid.alias("component_id"))
+    out = found.select("doc_id", "n_shingles", cid.alias("component_id"), *(["h1", "h2"] if named else []))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -26,8 +26,13 @@ def test_near_duplicates_of_nothing(none):
     assert neardup.near_duplicates(none).collect() == []
 
 
-def test_threshold_chain_of_copies(spark):
+@pytest.mark.parametrize("turns", [False, True])
+def test_threshold_chain_of_copies(spark, monkeypatch, turns):
     """Copies with few edits each, around the threshold: links that no common leader shows."""
+    if turns:  # other leaders take turns, and keys count as frequent
+        monkeypatch.setattr(neardup, "LEAST_PAIRS", 0)
+        monkeypatch.setattr(neardup, "CROWDED", 0)
+        monkeypatch.setattr(neardup, "MOST_TURNS", 2)
     rng = np.random.default_rng(4)
     base = [f"t{i}" for i in range(120)]
     rows = []
@@ -54,10 +59,11 @@ def test_registers_merge_and_estimate():
     assert neardup.plausible(ra, ra, np.array([3000]), np.array([3000]), 0.8)[0][0]
 
 
-def test_common_counts_names_by_both_lanes():
-    x = np.array([[1, 1, 5, 9], [7, 8, 0, 3]], np.uint64)
-    y = np.array([[1, 1, 5, 10], [6, 8, 0, 3]], np.uint64)
-    assert neardup.common(x, y) == 2 and neardup.common(x[:, 2:], y) == 1 and neardup.common(x[:, :0], y) == 0
+def test_common_counts_names_by_both_parts():
+    x = np.array([1, 1, 5, 9], np.uint64), np.array([7, 8, 0, 3], np.uint32)
+    y = np.array([1, 1, 5, 10], np.uint64), np.array([6, 8, 0, 3], np.uint32)
+    cut = lambda z, part: (z[0][part], z[1][part])
+    assert neardup.common(x, y) == 2 and neardup.common(cut(x, slice(2, None)), y) == 1 and neardup.common(cut(x, slice(0)), y) == 0
 
 
 @pytest.mark.parametrize("split", [1000, 3])
