@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ._store import drop, join_keys, materialize
 from ._text import LOWER, U, Block, as_long, blocks, give_back, mix, run_hashes, word_names
@@ -335,12 +335,17 @@ def with_set_names(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             own1, own2, at = shingles(block, k)
-            both = np.stack([mix(_row_sums(own1, at)), mix(_row_sums(own2, at))], 1)
-            names = pa.array([x.tobytes() for x in both], pa.binary())
+            halves = mix(_row_sums(own1, at)).tolist(), mix(_row_sums(own2, at)).tolist()
+            names = pa.array([f"{a:016X}{b:016X}" for a, b in zip(*halves, strict=True)], pa.string())
             yield block.batch.slice(block.lo, block.rows).append_column("set_name", names)
         give_back()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("set_name", BinaryType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("set_name", StringType())]))
+
+
+def set_name(h1: str, h2: str) -> Column:
+    """The set_name of two halves: both numbers in hexadecimal."""
+    return F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, named: bool = False) -> DataFrame:

@@ -65,6 +65,16 @@ def test_near_duplicates(spark, sf, tmp_path):
     assert got.count(None) == sum(r.doc_id is None for r in docs) and out.columns == list(cp.COLUMNS)
 
 
+def test_a_repeated_id_keeps_its_own_text(spark, sf):
+    """Of two rows of an id the copy of an earlier document goes, whatever their order by hash."""
+    rows = [(1, brute.BASE, "en", "s", 1), (2, "words of one own text " * 9, "en", "s", 1)]
+    for i in range(3, 11):
+        rows += [(i, brute.BASE, "en", "s", 1), (i, " ".join(f"only{i}x{j}" for j in range(40)), "en", "s", 1)]
+    out = STAGE["near_duplicates"](spark, spark.createDataFrame(rows, brute.DOCS), sf).collect()
+    assert sorted(r.doc_id for r in out) == list(range(1, 11))
+    assert all(r.text.startswith(f"only{r.doc_id}x") for r in out if r.doc_id > 2)
+
+
 def test_secrets(spark, sf, tmp_path):
     docs, out = through(spark, sf, "secrets", tmp_path)
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
