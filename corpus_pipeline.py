@@ -27,15 +27,18 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8),
-    the one with the smallest doc_id; of rows that repeat a doc_id, one.  Null doc_ids stay."""
+    the one with the smallest doc_id; of rows that repeat a doc_id, one of those that stay
+    by their own text.  Null doc_ids stay."""
     reachable(spark)
     docs = docs.select(*COLUMNS)
-    kept = neardup.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
+    kept = materialize(neardup.near_duplicates(docs, k=5, percent=80, named=True).filter("kept and doc_id is not null").select("doc_id", "h1", "h2"), "kept")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    stay = docs.join(kept, "doc_id", "left_semi")
-    single = stay.join(repeated, "doc_id", "left_anti")
+    single = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").join(repeated, "doc_id", "left_anti")
+    # which of several rows stays is told by its set's name
+    named = neardup.with_set_names(docs.join(repeated, "doc_id", "left_semi").select(*COLUMNS), 5)
+    named = named.join(kept.select("doc_id", neardup.set_name("h1", "h2").alias("set_name")).distinct(), ["doc_id", "set_name"], "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS), "text")
-    first = stay.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    first = named.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
     return single.select(*COLUMNS).unionByName(first.select(*COLUMNS)).unionByName(docs.filter("doc_id is null"))
 
 
