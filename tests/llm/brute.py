@@ -11,8 +11,8 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BASE = " ".join(f"w{i % 97}x{i % 13}" for i in range(160))
 LONG = " ".join(f"tok{(i * 7919) % 1009}" for i in range(30000))
 #: Two words that polynomial hashes modulo a power of two take for one.
-THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
-MORSE = THUE.translate(str.maketrans("ab", "ba"))
+THUE = "".join("xy"[bin(i).count("1") % 2] for i in range(2048))
+MORSE = THUE.translate(str.maketrans("xy", "yx"))
 FORTY_NINE = " ".join(f"w{i}" for i in range(49))
 
 
