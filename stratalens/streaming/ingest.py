@@ -13,26 +13,28 @@ from ..sources.store import TableStore
 
 def upsert(store: TableStore, batch: DataFrame) -> None:
     """Applies a batch of (path, content, size_bytes, modified): the newest version of
-    each path replaces the stored one; a repeated batch changes nothing."""
+    each path replaces the stored one; a repeated batch changes nothing.
+
+    What is written is in proportion to the batch.  Embeddings, members and edges of
+    symbols that went stay until the next index run; every reader joins them to the
+    symbols, so they show nowhere."""
     newest = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("modified"), F.desc("size_bytes")))
-    files = source_files(batch.withColumn("n", newest).filter("n = 1"))
-    if files.isEmpty():
-        return
-    old_files, old_symbols = store.read("files"), store.read("symbols")
-    kept = old_files.join(files.select("path"), "path", "left_anti")
-    after = kept.select("path", "content_hash").unionByName(files.select("path", "content_hash"))
-    changes = diff.file_changes(old_files, after)
-    renewed = files.join(changes.filter(F.col("action").isin(diff.INSERT, diff.REPLACE)).select("path"), "path", "left_semi")
-    if renewed.isEmpty():
-        return
-    with store.transaction():
-        symbols = store.write("symbols", diff.merge_symbols(old_symbols, extract.extract_symbols(renewed), changes))
-        store.write("files", kept.unionByName(files.select(*kept.columns)))
-        for table, key in (("symbol_embeddings", "symbol_id"), ("concept_members", "symbol_id")):
-            if store.exists(table):
-                store.write(table, diff.surviving(store.read(table), key, symbols))
-        if store.exists("references"):
-            store.write("references", diff.surviving_edges(store.read("references"), symbols))
+    files = source_files(batch.withColumn("n", newest).filter("n = 1")).persist()
+    try:
+        paths = F.broadcast(files.select("path"))  # a batch's
+        old_files = store.read("files").join(paths, "path", "left_semi")
+        changes = diff.file_changes(old_files, files.select("path", "content_hash"))
+        renewed = files.join(changes.filter(F.col("action").isin(diff.INSERT, diff.REPLACE)).select("path"), "path", "left_semi")
+        if renewed.isEmpty():
+            return
+        old_symbols = store.read("symbols").join(paths, "path", "left_semi")
+        changed = renewed.select("path")
+        fresh = diff.merge_symbols(old_symbols, extract.extract_symbols(renewed), changes.filter(F.col("action") != diff.KEEP))
+        with store.transaction():
+            store.change("symbols", fresh, changed)
+            store.change("files", renewed.select("file_id", "path", "language", "content_hash", "size_bytes"), changed)
+    finally:
+        files.unpersist()
 
 
 def start(spark: SparkSession, landing: str, store: TableStore, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -13,6 +13,7 @@ from stratalens.operators.languages import imported_names
 from stratalens.plans.pipeline import Index, Options
 from stratalens.sources import repo
 from stratalens.sources.store import TableStore
+from stratalens.streaming import ingest
 
 
 def run_rows(spark, *stages):
@@ -60,6 +61,26 @@ def test_a_file_that_cannot_be_read_keeps_its_rows(spark, tmp_path, monkeypatch)
     assert {r.name for r in index.store.read("symbols").collect()} == {"f"}
 
 
+def test_batches_write_what_they_hold(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "db"))
+    batch = lambda *rows: spark.createDataFrame([(p, t.encode(), len(t), n) for p, t, n in rows], "path string, content binary, size_bytes long, modified int")
+    names = lambda: sorted((r.path, r.name) for r in store.read("symbols").collect())
+    one = "def f{}():\n    pass\n"
+    ingest.upsert(store, batch(*[(f"m{i}.py", one.format(i), 1) for i in range(6)]))
+    first = store._tables()["symbols"]
+    ingest.upsert(store, batch(("m1.py", one.format(9), 2), ("m1.py", one.format(8), 1), ("m9.py", one.format(7), 1)))
+    assert store._tables()["symbols"][0] == first[0] and len(store._tables()["symbols"]) == 2
+    want = [(f"m{i}.py", f"f{9 if i == 1 else i}") for i in range(6)] + [("m9.py", "f7")]
+    assert names() == want and store.read("files").count() == 7
+    ingest.upsert(store, batch(("m1.py", one.format(9), 3)))
+    assert len(store._tables()["symbols"]) == 2  # nothing new
+    ingest.upsert(store, batch(("m1.py", "x = 1\n", 4)))
+    assert names() == [w for w in want if w[0] != "m1.py"] and {r.path for r in store.read("files").collect()} >= {"m1.py"}
+    monkeypatch.setattr("stratalens.sources.store.MOST_CHANGES", 2)
+    ingest.upsert(store, batch(("m2.py", one.format(5), 5)))
+    assert len(store._tables()["symbols"]) == 1 and ("m2.py", "f5") in names() and len(names()) == 6
+
+
 def test_labels_are_committed_batch_by_batch(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "db"))
     ids = range(12)
