@@ -80,7 +80,7 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: str, counts: DataFrame | Non
     sizes = counts.filter(F.col("n") > SPLIT).orderBy(F.desc("n")).limit(SHARE).select(on, "n").collect()
     if not sizes:
         return rows.join(keys, on)
-    total = rows.count()
+    total = counts.agg(F.sum("n")).first()[0]
     hot = F.col(on).isin([r[0] for r in sizes if r.n * SHARE > total])
     return rows.filter(~hot).join(keys.filter(~hot), on).unionByName(rows.filter(hot).join(F.broadcast(keys.filter(hot)), on))
 
