@@ -26,8 +26,9 @@ from .components import connected_components
 M, ROWS, A, BASE, Q = 128, 4, 20.0, 1.001, 32765
 #: Members verified together with a leader; nodes of a block; most ids that are broadcast.
 GROUP, BLOCK, BROADCAST_IDS = 500, 256, 500_000
-#: Turns of other leaders, and from how many pairs for each row, and in all, one is worth its while.
-MOST_TURNS, CROWDED, LEAST_PAIRS = 6, 30, 2_000_000
+#: Turns of other leaders, and from how many pairs for each row, and in all, one is worth its while: a turn is
+#: some tens of jobs, and a core compares about a million pairs in a second.
+MOST_TURNS, CROWDED, LEAST_PAIRS = 6, 30, 1_000_000_000
 #: Nodes of the sample that looks for large buckets, and the share of it (one in so many) that makes one.
 LOOKED_AT, FREQUENT = 20_000, 1_000
 _MUL = mix(np.arange(1, M + 1, dtype=U)) | U(1)
