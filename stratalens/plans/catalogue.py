@@ -274,8 +274,8 @@ def callees(spark, sf_dir):
 def concept_siblings(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.xxhash64("p_brand", "p_size").alias("concept_id"), F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("name"), F.lit(None).cast("string").alias("role"), F.col("p_partkey").alias("symbol_id"))
     s = _part_table(spark, sf_dir)
-    out = inspection.concept_siblings(s, p.select("concept_id", "name", "role").distinct(), p.select("concept_id", "symbol_id"), s)
-    return out.select("symbol_id", "concept", F.when(F.col("siblings").isNotNull(), F.array_join(F.transform("siblings", lambda x: x["qualified_name"]), ",")).alias("siblings"))
+    out = inspection.concept_siblings(s, p.select("concept_id", "name", "role").distinct(), p.select("concept_id", "symbol_id"), s, joined=",")
+    return out.select("symbol_id", "concept", "siblings")
 
 
 @_query("SELECT qualified_name FROM (SELECT concat(p_brand, '.', p_name) AS qualified_name FROM part) WHERE qualified_name ILIKE '%BRAND_1%' ORDER BY qualified_name LIMIT 20")

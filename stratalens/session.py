@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, name: str = "stratalens", **conf: str) -> SparkSession:
@@ -32,3 +32,8 @@ def reachable(spark: SparkSession) -> SparkSession:
         if root not in known:
             context.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
     return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df in four partitions for each core, which adaptive execution leaves as they are: for narrow rows that much work or output hangs on."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
