@@ -217,9 +217,10 @@ def encode_texts(spark, sf_dir):
 _EDGE = "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, CASE l_returnflag WHEN 'R' THEN 'inherit' WHEN 'A' THEN 'call' ELSE 'import' END AS kind FROM lineitem"
 
 
-def _line_edges(spark, sf_dir):
+def _line_edges(spark, sf_dir, once=True):
     kind = F.when(F.col("l_returnflag") == "R", "inherit").when(F.col("l_returnflag") == "A", "call").otherwise("import")
-    return _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src_symbol_id"), F.col("l_suppkey").alias("dst_symbol_id"), kind.alias("kind")).distinct()
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src_symbol_id"), F.col("l_suppkey").alias("dst_symbol_id"), kind.alias("kind"))
+    return rows.distinct() if once else rows
 
 
 def _part_table(spark, sf_dir):
@@ -254,8 +255,7 @@ def _neighbour_sql(here: str, there: str) -> str:
 
 def _neighbours(spark, sf_dir, callers):
     s = _part_table(spark, sf_dir)
-    e = _line_edges(spark, sf_dir).select("src_symbol_id", "dst_symbol_id").distinct()
-    rows = inspection.neighbours(s, e, s, callers).select("symbol_id", F.posexplode("others").alias("place", "o"))
+    rows = inspection.neighbours(s, _line_edges(spark, sf_dir, once=False), s, callers, once=True).select("symbol_id", F.posexplode("others").alias("place", "o"))
     return rows.select("symbol_id", (F.col("place") + 1).alias("place"), "o.symbol", "o.file", "o.line")
 
 

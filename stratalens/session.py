@@ -35,5 +35,6 @@ def reachable(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df in four partitions for each core, which adaptive execution leaves as they are: for narrow rows that much work or output hangs on."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    """df in as many partitions as shuffles have, four for each core at least; adaptive execution would merge them by their bytes, whatever hangs on a row."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -53,3 +53,21 @@ def test_concept_siblings_of_odd_members(spark):
     }
     joined = inspection.concept_siblings(wanted, concepts, members, symbols, joined=",").collect()
     assert {r.symbol_id: r.siblings for r in joined} == {1: "q3", 3: "q1", 4: None, 5: None, 6: "q1", 7: None}
+
+
+def test_neighbours_stay_spread(spark):
+    """No task takes several parts of the edges, and an end that several edges lead to counts as often as asked."""
+    symbols = spark.range(2000).select(F.col("id").alias("symbol_id"), F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("path"), (F.col("id") % 5).cast("int").alias("start_line"), F.lit("n").alias("name"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("qualified_name"))
+    edges = spark.range(12000).select((F.col("id") % 2000).alias("src_symbol_id"), (F.col("id") % 7).alias("dst_symbol_id"), F.lit("call").alias("kind"))
+    pairs = {(i % 2000, i % 7) for i in range(12000)}
+    twice = edges.union(edges.withColumn("kind", F.lit("import")))
+    for callers in (True, False):
+        df = inspection.neighbours(symbols, twice, symbols, callers, once=True)
+        got = {r.symbol_id: [o.symbol for o in r.others] for r in df.collect()}
+        ends = {}
+        for src, dst in pairs:
+            ends.setdefault(dst if callers else src, []).append(src if callers else dst)
+        assert got == {i: [f"q{o}" for o in sorted(e, key=lambda o: (o % 3, o % 5, o))[:20]] for i, e in ends.items()}
+        assert "coalesced" not in df._jdf.queryExecution().executedPlan().toString()
+    both = {r.symbol_id: len(r.others) for r in inspection.neighbours(symbols, twice, symbols, False).collect()}
+    assert both == {i: 2 * len(e) for i, e in ends.items()}
