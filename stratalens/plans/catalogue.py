@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text, vectors
 from ..operators import cluster, diff, edges, enrich, evaluate, extract, inspection, search
 from ..operators.languages import EXTENSIONS, skeleton
+from ..session import spread
 from ..sources import repo
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -634,7 +635,7 @@ _FOUND = {
 
 def _sources(spark, sf_dir):
     """A source file for each part, in the six languages."""
-    p = _t(spark, sf_dir, "part")
+    p = spread(_t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey")  # a row group of parts is one task's; as files they are a lot of work
     n = F.col("p_partkey").cast("string")
     at = lambda template: F.concat(*[x for i, t in enumerate(template.split("@")) for x in ((n, F.lit(t)) if i else (F.lit(t),))])
     bodies = {k: F.replace(at(v), F.lit("~"), F.col("p_name")) for k, v in _BODIES.items()}

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stratalens.operators import inspection
+from stratalens.plans import catalogue
 
 
 def nodes(plan):
@@ -71,3 +72,10 @@ def test_neighbours_stay_spread(spark):
         assert "coalesced" not in df._jdf.queryExecution().executedPlan().toString()
     both = {r.symbol_id: len(r.others) for r in inspection.neighbours(symbols, twice, symbols, False).collect()}
     assert both == {i: 2 * len(e) for i, e in ends.items()}
+
+
+def test_files_are_dealt_out(spark):
+    """Parts lie in one row group; their files are read by more than the task that reads it."""
+    for name in ("extract_symbols", "class_skeletons"):
+        df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 4
